@@ -38,14 +38,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def pairs_across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (bucket, id, component) that share a bucket and lie in different components."""
+    x, y = members.alias("x"), members.alias("y")
+    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across) -> DataFrame:
     """(id, component) of all items that some chain of links joins, smallest id first; unlinked items have no row.
 
     ``buckets`` (bucket, id): two items can only be linked if they share a bucket. ``check`` takes
     candidate pairs (a, b) and returns the linked ones. Within a bucket, every item is first checked
     against the bucket's smallest, which joins a group of copies without forming its pairs; then only
     pairs that share a bucket and lie in different components are left to check, so no link between
-    components is lost.
+    components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
+    that can't be links.
     """
     count = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     shared = scratch.keep(buckets.join(count, "bucket").select("bucket", "id", "pivot"))
@@ -56,9 +64,7 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
     placed = shared.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = scratch.keep(placed.where("id <> pivot").join(split, "bucket", "left_semi").select("bucket", "id", "component"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest = across(left).distinct()
     more = scratch.keep(check(rest))
     if more.isEmpty():
         return first

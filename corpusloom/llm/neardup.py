@@ -2,7 +2,10 @@
 
 An Odd sketch folds the MinHash samples into a bitmap of parities; the bits in which two sketches
 differ estimate how many samples differ, most precisely at high similarities. Candidates whose
-estimate is far below the threshold are dropped before their texts are fetched.
+estimate is far below the threshold are dropped before their texts are fetched. A second bitmap folds
+the whole set: two sets differ in at least as many elements as their bitmaps do in bits, so a pair
+whose bitmaps differ too much is no link for certain. Within a bucket it is held against all members
+of other components in memory, and only pairs that it can't rule out leave the task.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ class NearDupConfig:
     bands: int = 32
     rows: int = 4
     bits: int = 512
+    set_bits: int = 2048
+    block: int = 8192  # members of a bucket that meet in one task
     seed: int = 1
 
     @property
@@ -79,17 +84,23 @@ def band_keys(samples: np.ndarray, config: NearDupConfig) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(found: np.ndarray, config: NearDupConfig) -> np.ndarray:
+    """Parities of a whole set by bit, as 64-bit integers."""
+    bit = mix64(found + np.uint64(config.seed)) % np.uint64(config.set_bits)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=config.set_bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch, bands); for texts without words the last three are null."""
+    """(doc_id, n_shingles, set_key, sketch, bands, parity); for texts without words the last four are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 16 << 20):
-                n, keys, sketches, bands = [], [], [], []
+                n, keys, sketches, bands, parities = [], [], [], [], []
                 for text in as_bytes(batch, "text"):
                     found = shingles(word_hashes(text or b""), config.words)
                     n.append(len(found))
@@ -98,16 +109,18 @@ def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
                         keys.append(set_key(found))
                         sketches.append(odd_sketch(samples, config))
                         bands.append(band_keys(samples, config))
+                        parities.append(parity(found, config))
                     else:
                         keys.append(None)
                         sketches.append(None)
                         bands.append(None)
+                        parities.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "sketch", "bands"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "set_key", "sketch", "bands", "parity"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, keyed(docs, "n_shingles long, set_key binary, sketch array<long>, bands array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(run, keyed(docs, "n_shingles long, set_key binary, sketch array<long>, bands array<long>, parity array<long>"))
 
 
 def _confirmed(pairs: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -133,6 +146,64 @@ def _confirmed(pairs: DataFrame, config: NearDupConfig) -> DataFrame:
     return pairs.select("a", "b", "text_a", "key_a", "text_b", "key_b").mapInArrow(run, "a long, b long")
 
 
+def _possible(members: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose set bitmaps don't rule a link out.
+
+    Buckets above ``block`` members are dealt to pairs of blocks, so that no task holds a whole hot bucket.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = members.join(sizes, "bucket").select("bucket", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "component", "own", "other")
+    dealt = dealt.join(sets.select("id", F.col("n_shingles").alias("n"), "parity"), "id")
+    limit = (100 - config.threshold) / (100 + config.threshold)
+
+    def cross(ids, components, n, bits) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(n, kind="stable")
+        ids, components, n, bits = ids[order], components[order], n[order], bits[order]
+        for at in range(0, len(ids), 256):
+            end = min(len(ids), at + 256)
+            a, b = [], []
+            for i in range(at, end):
+                upto = int(np.searchsorted(n, n[i] * 100 / config.threshold + 1e-9, side="right"))  # longer sets can't be near
+                later = np.arange(i + 1, upto)
+                later = later[components[i + 1 : upto] != components[i]]
+                if len(later):
+                    differ = np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    later = later[differ <= (n[later] + n[i]) * limit + 1e-9]
+                    a.append(np.minimum(ids[later], ids[i]))
+                    b.append(np.maximum(ids[later], ids[i]))
+            if a and sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the members of the last cell, which may go on in the next batch
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            if len(columns[0]) > 1:
+                yield from cross(*columns)
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, ids, components, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bits = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+            edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if last is not None and cell[s] != last:
+                    yield from meet()
+                    held.clear()
+                last = cell[s]
+                held.append((ids[s:e], components[s:e], n[s:e], bits[s:e]))
+        if held:
+            yield from meet()
+
+    dealt = dealt.select("cell", "id", "component", "n", "parity")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -146,15 +217,20 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.keep(signatures(docs, config))
-    sets = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    sets = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n_shingles"))
     sets = scratch.keep(sets.withColumn("id", F.monotonically_increasing_id()))
     holders = sets.select("id", "set_key", "first_doc")
 
     def check(pairs: DataFrame) -> DataFrame:
-        sketch = sets.select("id", "sketch")
-        near = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sketch_a"}), "a").join(sketch.withColumnsRenamed({"id": "b", "sketch": "sketch_b"}), "b")
-        differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(1, config.bits // 64)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
-        near = scratch.keep(near.where(differ <= config.most_bits).select("a", "b"))
+        def differ(column: str, bits: int):
+            parts = [F.bit_count(F.get(f"{column}_a", F.lit(i)).bitwiseXOR(F.get(f"{column}_b", F.lit(i)))) for i in range(bits // 64)]
+            return reduce(lambda x, y: x + y, parts)
+
+        sketch = sets.select("id", "sketch", "parity", F.col("n_shingles").alias("n"))
+        near = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sketch_a", "parity": "parity_a", "n": "n_a"}), "a")
+        near = near.join(sketch.withColumnsRenamed({"id": "b", "sketch": "sketch_b", "parity": "parity_b", "n": "n_b"}), "b")
+        possible = differ("parity", config.set_bits) * (100 + config.threshold) <= (F.col("n_a") + F.col("n_b")) * (100 - config.threshold)
+        near = scratch.keep(near.where((differ("sketch", config.bits) <= config.most_bits) & possible).select("a", "b"))
         if near.isEmpty():
             return near
         ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(holders, "id")
@@ -163,7 +239,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
         right = texts.withColumnsRenamed({"id": "b", "key": "key_b", "text": "text_b"})
         return _confirmed(near.join(left, "a").join(right, "b"), config).distinct()
 
-    linked = link_components(sets.select(F.explode("bands").alias("bucket"), "id"), check, scratch)
+    linked = link_components(sets.select(F.explode("bands").alias("bucket"), "id"), check, scratch, lambda members: _possible(members, sets, config))
     placed = holders.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     placed = scratch.keep(placed.join(lowest, "component").select("set_key", "component_id"))
