@@ -11,6 +11,7 @@ themselves.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,8 +79,8 @@ def _anchors(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
-    """(bucket, context, holders): the bytes of a run of starts, and where they are held: (text_key, text_check,
-    first start) triples. Equal contexts of one batch are one row. Starts of hot buckets go one by one, spread
+    """(bucket, context, holders): the bytes of a run of starts, and where they are held: text_key, text_check,
+    first start and number of rows, for each. Equal contexts of one batch are one row, and so are equal texts. Starts of hot buckets go one by one, spread
     by their own bytes, so that no bucket gathers more than a row per batch for each string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +88,24 @@ def _contexts(joined: DataFrame) -> DataFrame:
             for batch in pieces(whole, 8 << 20):
                 found: dict[tuple[int, bytes], list[int]] = {}
                 texts = as_bytes(batch, "text")
-                keys, checks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for text, key, check, runs in zip(texts, keys, checks, batch.column(3).to_pylist(), strict=True):
+                keys, checks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                rows_of = Counter(zip(keys, checks, strict=True))
+                for at, (text, key, check) in enumerate(zip(texts, keys, checks, strict=True)):
+                    n_rows = rows_of.pop((key, check), 0)
+                    if not n_rows:
+                        continue  # a copy of an earlier row
+                    runs = batch.column(4)[at].as_py()
                     for item in runs:
                         bucket, packed, hot = item["bucket"], item["run"], item["hot"]
                         first, n = packed >> 8, (packed & 255) + 1
                         if first + n - 1 + LENGTH > len(text):
                             continue  # of another text with the same key
                         if not hot:
-                            found.setdefault((bucket, text[first : first + n - 1 + LENGTH]), []).extend((key, check, first))
+                            found.setdefault((bucket, text[first : first + n - 1 + LENGTH]), []).extend((key, check, first, n_rows))
                             continue
                         for s in range(first, first + n):
                             own = text[s : s + LENGTH]
-                            found.setdefault((xxhash.xxh3_64_intdigest(own, bucket & 0xFFFFFFFF) - (1 << 63), own), []).extend((key, check, s))
+                            found.setdefault((xxhash.xxh3_64_intdigest(own, bucket & 0xFFFFFFFF) - (1 << 63), own), []).extend((key, check, s, n_rows))
                 rows = list(found.items())
                 for at in range(0, len(rows), 20_000):
                     part = rows[at : at + 20_000]
@@ -108,11 +114,17 @@ def _contexts(joined: DataFrame) -> DataFrame:
                         names=["bucket", "context", "holders"],
                     )
 
-    return joined.select("text", "text_key", "text_check", "runs").mapInArrow(run, "bucket long, context binary, holders array<long>")
+    return joined.select("doc_id", "text", "text_key", "text_check", "runs").mapInArrow(run, "bucket long, context binary, holders array<long>")
 
 
 def _solve(contexts: list[bytes], held: list[list[int]]) -> list[tuple[int, int, int, int]]:
     """(text_key, text_check, first byte, end byte) of the runs of repeated starts in a block."""
+    merged: dict[bytes, dict[tuple[int, int, int], int]] = {}
+    for context, holders in zip(contexts, held, strict=True):
+        own = merged.setdefault(context, {})
+        for i in range(0, len(holders), 4):
+            own[tuple(holders[i : i + 3])] = own.get(tuple(holders[i : i + 3]), 0) + holders[i + 3]
+    contexts = list(merged)
     lengths = np.array([len(c) for c in contexts], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     block = np.frombuffer(b"".join(contexts) + bytes(PADDING), dtype=np.uint8)
@@ -120,7 +132,7 @@ def _solve(contexts: list[bytes], held: list[list[int]]) -> list[tuple[int, int,
     owner = np.repeat(np.arange(len(contexts)), count)
     at = np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.repeat(begin, count)
     kind = classes(block, at, LENGTH)
-    copies = np.array([len(h) // 3 for h in held], dtype=np.int64)
+    copies = np.array([sum(h.values()) for h in merged.values()], dtype=np.int64)
     repeated = np.bincount(kind, weights=copies[owner])[kind] > 1
     edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
     cut = np.union1d(edge, np.concatenate([[0], np.cumsum(count)]))  # runs end with their context
@@ -129,9 +141,8 @@ def _solve(contexts: list[bytes], held: list[list[int]]) -> list[tuple[int, int,
         if repeated[a]:
             row = int(owner[a])
             shift = int(at[a] - begin[row])
-            holders = held[row]
-            for i in range(0, len(holders), 3):
-                out.append((holders[i], holders[i + 1], holders[i + 2] + shift, holders[i + 2] + shift + b - a - 1 + LENGTH))
+            for key, check, first in merged[contexts[row]]:
+                out.append((key, check, first + shift, first + shift + b - a - 1 + LENGTH))
     return out
 
 
@@ -175,6 +186,7 @@ def find_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     anchors = _anchors(texts)
     seen = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
     runs = seen.groupBy("text_key").agg(F.collect_set(F.struct("bucket", "run", (F.col("n") > HOT).alias("hot"))).alias("runs"))
+    # Both joins read the texts by text_key with the same columns, so that they are shuffled once.
     contexts = _contexts(texts.join(runs, "text_key").select("doc_id", "text", "text_key", "text_check", "runs"))
     spans = _repeated(contexts).groupBy("text_key").agg(F.collect_set(F.struct("text_check", "first", "end")).alias("spans"))
     judged = texts.join(spans, "text_key", "left").select("doc_id", "text", "text_check", "spans")
