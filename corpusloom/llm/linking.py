@@ -49,9 +49,8 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
     """(id, component) of all items that some chain of links joins, smallest id first; unlinked items have no row.
 
     ``buckets`` (bucket, id): two items can only be linked if they share a bucket. ``check`` takes
-    candidate pairs (a, b) and returns the linked ones. Within a bucket, every item is first checked
-    against the bucket's smallest, which joins a group of copies without forming its pairs; then only
-    pairs that share a bucket and lie in different components are left to check, so no link between
+    candidate pairs (a, b) and returns the linked ones. First every item is checked against the smallest
+    of each of its buckets, which joins a group of copies without forming its pairs; then only pairs that share a bucket and lie in different components are left to check, so no link between
     components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
     that can't be links.
     """
