@@ -40,7 +40,7 @@ def g06_source2synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = F.length("t") - F.length(F.replace("t", F.lit("."), F.lit("")))
     special = F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s]", "")).cast("double") / F.length("t")
     docs = docs.where((dots >= 2) & (special <= 0.3))
-    docs = docs.withColumn("ss", F.filter(F.transform(F.split("t", r"\."), F.trim), lambda x: x != ""))
+    docs = docs.withColumn("ss", F.filter(F.transform(F.split("t", r"\."), lambda x: F.trim(x)), lambda x: x != ""))
     docs = docs.withColumn(
         "qa",
         F.filter(
