@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import Scratch
@@ -54,8 +54,9 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
     components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
     that can't be links.
     """
-    count = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    shared = scratch.keep(buckets.join(count, "bucket").select("bucket", "id", "pivot"))
+    whole = Window.partitionBy("bucket")  # one shuffle gives both the size and the smallest
+    placed = buckets.select("bucket", "id", F.min("id").over(whole).alias("pivot"), F.max("id").over(whole).alias("last"))
+    shared = scratch.keep(placed.where("pivot < last").select("bucket", "id", "pivot"))
     pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.keep(check(pairs))
     first = scratch.keep(connected_components(links, scratch))
