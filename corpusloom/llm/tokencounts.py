@@ -29,7 +29,7 @@ def _encoder(ranks_file: bytes) -> Callable[[str], int]:
 
     def count(text: str) -> int:
         if len(text) >= 4000 and _LONG_RUN.search(text):  # the library's own splitter overflows its stack on these
-            return sum(len(encoding.encode_single_piece(p)) if p.isspace() and len(p) > 1 else len(encoding.encode_ordinary(p)) for p in split.findall(text))
+            return sum(len(encoding._encode_single_piece(p)) if p.isspace() and len(p) > 1 else len(encoding.encode_ordinary(p)) for p in split.findall(text))
         return len(encoding.encode_ordinary(text))
 
     return count
