@@ -149,18 +149,19 @@ def _confirmed(pairs: DataFrame, config: NearDupConfig) -> DataFrame:
 def _possible(members: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
     """Pairs (a, b) of one bucket and different components whose set bitmaps don't rule a link out.
 
-    Buckets above ``block`` members are dealt to pairs of blocks, so that no task holds a whole hot bucket.
+    A pair that shares several buckets is given once, from the first; where one of the two is that
+    bucket's pivot, the pair has been checked. Buckets above ``block`` members are dealt to pairs of blocks, so that no task holds a whole hot bucket.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = members.join(sizes, "bucket").select("bucket", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "component", "own", "other")
-    dealt = dealt.join(sets.select("id", F.col("n_shingles").alias("n"), "parity"), "id")
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "bucket", "id", "component")
+    dealt = dealt.join(sets.select("id", F.col("n_shingles").alias("n"), "parity", "bands"), "id")
     limit = (100 - config.threshold) / (100 + config.threshold)
 
-    def cross(ids, components, n, bits) -> Iterator[pa.RecordBatch]:
+    def cross(bucket, ids, components, n, bits, bands) -> Iterator[pa.RecordBatch]:
         order = np.argsort(n, kind="stable")
-        ids, components, n, bits = ids[order], components[order], n[order], bits[order]
+        ids, components, n, bits, bands = ids[order], components[order], n[order], bits[order], bands[order]
         for at in range(0, len(ids), 256):
             end = min(len(ids), at + 256)
             a, b = [], []
@@ -171,6 +172,8 @@ def _possible(members: DataFrame, sets: DataFrame, config: NearDupConfig) -> Dat
                 if len(later):
                     differ = np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int64)
                     later = later[differ <= (n[later] + n[i]) * limit + 1e-9]
+                    first = (bands[later] == bands[i]).argmax(axis=1)  # a pair leaves from its first shared bucket only
+                    later = later[bands[i][first] == bucket[0]]
                     a.append(np.minimum(ids[later], ids[i]))
                     b.append(np.maximum(ids[later], ids[i]))
             if a and sum(map(len, a)):
@@ -188,19 +191,20 @@ def _possible(members: DataFrame, sets: DataFrame, config: NearDupConfig) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, ids, components, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            bits = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+            cell, bucket, ids, components, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            bits, bands = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1) for i in (5, 6))
+            bucket = bucket.view(np.uint64)
             edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 if last is not None and cell[s] != last:
                     yield from meet()
                     held.clear()
                 last = cell[s]
-                held.append((ids[s:e], components[s:e], n[s:e], bits[s:e]))
+                held.append((bucket[s:e], ids[s:e], components[s:e], n[s:e], bits[s:e], bands[s:e]))
         if held:
             yield from meet()
 
-    dealt = dealt.select("cell", "id", "component", "n", "parity")
+    dealt = dealt.select("cell", "bucket", "id", "component", "n", "parity", "bands")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
