@@ -45,14 +45,15 @@ def pairs_across(members: DataFrame) -> DataFrame:
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across) -> DataFrame:
+def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all items that some chain of links joins, smallest id first; unlinked items have no row.
 
     ``buckets`` (bucket, id): two items can only be linked if they share a bucket. ``check`` takes
     candidate pairs (a, b) and returns the linked ones. First every item is checked against the smallest
     of each of its buckets, which joins a group of copies without forming its pairs; then only pairs that share a bucket and lie in different components are left to check, so no link between
     components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
-    that can't be links.
+    that can't be links. Before it, ``again`` may give further pairs from the same rows, linear in the size of
+    each bucket, whose links join most of what is left.
     """
     whole = Window.partitionBy("bucket")  # one shuffle gives both the size and the smallest
     placed = buckets.select("bucket", "id", F.min("id").over(whole).alias("pivot"), F.max("id").over(whole).alias("last"))
@@ -61,11 +62,21 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
     links = scratch.keep(check(pairs))
     first = scratch.keep(connected_components(links, scratch))
 
-    placed = shared.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = scratch.keep(placed.where("id <> pivot").join(split, "bucket", "left_semi").select("bucket", "id", "component"))
+    def joined(more: DataFrame) -> DataFrame:
+        held = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+        return connected_components(held.unionAll(more.select("a", "b")), scratch)
+
+    def split_members() -> DataFrame:
+        placed = shared.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        return scratch.keep(placed.where("id <> pivot").join(split, "bucket", "left_semi").select("bucket", "id", "component"))
+
+    left = split_members()
+    if again is not None:
+        more = scratch.keep(check(again(left)))
+        if not more.isEmpty():
+            first = scratch.keep(joined(more))
+            left = split_members()
     rest = across(left).distinct()
     more = scratch.keep(check(rest))
-    if more.isEmpty():
-        return first
-    return connected_components(first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(more.select("a", "b")), scratch)
+    return first if more.isEmpty() else joined(more)
