@@ -76,7 +76,9 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
         more = scratch.keep(check(again(left)))
         if not more.isEmpty():
             first = scratch.keep(joined(more))
+            scratch.drop(left)
             left = split_members()
+    scratch.drop(shared)
     rest = across(left).distinct()
     more = scratch.keep(check(rest))
     return first if more.isEmpty() else joined(more)

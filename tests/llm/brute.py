@@ -96,3 +96,38 @@ def base_secrets(text):
     out += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= 24]
     return [(kind, s, e) for s, _, e, kind in sorted(out)]
+
+
+def edits(a, b):
+    """Edit distance of two sequences."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def repeated_lines(docs, percent=80):
+    """{doc_id: places of lines that go}, and the number of linked pairs of unlike lines."""
+    places = defaultdict(list)
+    for d, text in docs:
+        for i, line in enumerate((text or "").split("\n")):
+            if w := tuple(x for x in re.split(r"[\W_]+", line.lower()) if x):
+                places[w].append((d, i))
+    forms = sorted(places, key=lambda w: min(places[w]))
+    links = []
+    for i, a in enumerate(forms):
+        for j in range(i):
+            longest = max(len(a), len(forms[j]))
+            if 100 * (longest - min(len(a), len(forms[j]))) <= (100 - percent) * longest and 100 * edits(a, forms[j]) <= (100 - percent) * longest:
+                links.append((i, j))
+    group = components(range(len(forms)), links)
+    held = defaultdict(list)
+    for i, w in enumerate(forms):
+        held[group[i]] += places[w]
+    out = defaultdict(set)
+    for same in held.values():
+        for d, i in sorted(same)[1:]:
+            out[d].add(i)
+    return dict(out), len(links)
