@@ -1,15 +1,16 @@
 """Language identification of mixed text.
 
-Each word gets a score for each learned language from its byte n-grams; the script of its letters
-narrows the candidates; Viterbi with a penalty for switching labels runs of words, so that a text's
+Each word gets a score for each learned language from its byte n-grams; the script of its letters, by ranges
+of code points, narrows the candidates; Viterbi with a penalty for switching labels runs of words, so that a text's
 languages come as spans. The document's language is the one with the most labelled letters.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,79 @@ SAMPLE_PER_LANG = 1500
 BUCKETS = 1 << 16
 SWITCH = 6.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GAP = np.array([b == 32 for b in range(256)])
-#: Lead bytes of UTF-8 by script: 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic and Syriac, 6 Indic and South-East Asian, 7 Han and kana, 8 Hangul.
-_SCRIPT = np.zeros(256, dtype=np.int8)
-_SCRIPT[97:123] = 1
-_SCRIPT[0xC3:0xCB] = 1
-_SCRIPT[0xCD:0xD0] = 2
-_SCRIPT[0xD0:0xD4] = 3
-_SCRIPT[0xD6:0xD8] = 4
-_SCRIPT[0xD8:0xDD] = 5
-_SCRIPT[0xE0] = 6
-_SCRIPT[0xE3:0xEA] = 7
-_SCRIPT[0xEA:0xEE] = 8
-N_SCRIPTS = 9
-
-
-def clean(text: bytes) -> np.ndarray:
-    """Bytes of the lower-cased text, with a space for all that is no letter, digits included."""
-    lowered = text.translate(_CLEAN) if text.isascii() else text.decode("utf-8", "replace").lower().encode().translate(_CLEAN)
-    return np.frombuffer(b" " + lowered + b" ", dtype=np.uint8)
+CHUNK_BYTES = 1 << 17  # of a text that are scored at once
+#: Unicode ranges of scripts, first and last code point. Letters outside of them are of script 0, "other".
+SCRIPT_RANGES = (
+    ("Latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x2B8), (0x1D00, 0x1D25), (0x1D2C, 0x1D65), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A))),
+    ("Greek", ((0x370, 0x3E1), (0x3F0, 0x3FF), (0x1F00, 0x1FFF))),
+    ("Cyrillic", ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F))),
+    ("Armenian", ((0x531, 0x58F), (0xFB13, 0xFB17))),
+    ("Hebrew", ((0x591, 0x5F4), (0xFB1D, 0xFB4F))),
+    ("Arabic", ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC))),
+    ("Devanagari", ((0x900, 0x97F), (0xA8E0, 0xA8FF))),
+    ("Bengali", ((0x980, 0x9FF),)),
+    ("Gurmukhi", ((0xA00, 0xA7F),)),
+    ("Gujarati", ((0xA80, 0xAFF),)),
+    ("Oriya", ((0xB00, 0xB7F),)),
+    ("Tamil", ((0xB80, 0xBFF),)),
+    ("Telugu", ((0xC00, 0xC7F),)),
+    ("Kannada", ((0xC80, 0xCFF),)),
+    ("Malayalam", ((0xD00, 0xD7F),)),
+    ("Sinhala", ((0xD80, 0xDFF),)),
+    ("Thai", ((0xE00, 0xE7F),)),
+    ("Lao", ((0xE80, 0xEFF),)),
+    ("Tibetan", ((0xF00, 0xFFF),)),
+    ("Myanmar", ((0x1000, 0x109F),)),
+    ("Georgian", ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F))),
+    ("Ethiopic", ((0x1200, 0x139F), (0x2D80, 0x2DDF))),
+    ("Khmer", ((0x1780, 0x17FF),)),
+    ("Mongolian", ((0x1800, 0x18AF),)),
+    ("Kana", ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F))),
+    ("Han", ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F))),
+    ("Hangul", ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF))),
+)
+N_SCRIPTS = len(SCRIPT_RANGES) + 1
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 0 for what is no part of a word, 1 for marks that go with letters, 2 for letters; and its script."""
+    kind = np.zeros(0x110000, dtype=np.int8)
+    for c in range(0x32000):  # no letters above
+        category = unicodedata.category(chr(c))
+        kind[c] = 2 if category[0] == "L" else 1 if category[0] == "M" else 0
+    script = np.zeros(0x110000, dtype=np.int8)
+    for i, (_, ranges) in enumerate(SCRIPT_RANGES, 1):
+        for first, last in ranges:
+            script[first : last + 1] = i
+    return kind, script
+
+
+@dataclass
+class Words:
+    """The words of a text: letters and their marks, lower-cased; all else is a gap. ``data``: UTF-8 with a space for each
+    gap, and one at either end; ``script`` and ``letters`` by word."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    script: np.ndarray
+    letters: np.ndarray
+
+
+def split_words(text: bytes) -> Words:
+    kind, script = _code_points()
+    points = np.frombuffer((" " + text.decode("utf-8", "replace").lower() + " ").encode("utf-32-le"), dtype=np.uint32)
+    points = np.where(kind[points] > 0, points, np.uint32(32))
+    data = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+    start, end = word_spans(data, _GAP)
+    first, last = word_spans((points != 32).astype(np.uint8), np.array([True, False]))
+    if not len(first):
+        none = np.empty(0, dtype=np.int64)
+        return Words(data, none, none, none, none)
+    letters = np.add.reduceat((kind[points] == 2).astype(np.int64), first)  # gaps count as nothing
+    return Words(data, start, end, np.maximum.reduceat(script[points], first).astype(np.int64), letters)
 
 
 def grams(data: np.ndarray) -> list[np.ndarray]:
@@ -67,20 +120,23 @@ class LanguageModel:
     scripts: np.ndarray
     switch: float = SWITCH
 
-    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (word, language) and letters of each word of a cleaned text."""
-        start, end = word_spans(data, _GAP)
-        if not len(start):
-            return np.empty((0, len(self.langs)), dtype=np.float32), np.empty(0, dtype=np.int32)
-        total = np.zeros((len(start), len(self.langs)), dtype=np.float32)
-        for order, buckets in enumerate(grams(data)):
-            running = np.cumsum(self.table[order][buckets], axis=0, dtype=np.float64)
-            total += running[end] - running[start - 1]  # the gap after the word closes its last string
-        script = np.maximum.reduceat(_SCRIPT[data], start)
-        narrowed = self.scripts[script]
+    def scores(self, words: Words) -> np.ndarray:
+        """Scores (word, language) of the words of a text, in chunks so that memory for them is bounded for any length."""
+        n = len(words.start)
+        total = np.zeros((n, len(self.langs)), dtype=np.float32)
+        at = 0
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(words.end, words.start[at] + CHUNK_BYTES, side="right")))
+            base = int(words.start[at]) - 1
+            start, end = words.start[at:upto] - base, words.end[at:upto] - base
+            for order, buckets in enumerate(grams(words.data[base : base + int(end[-1]) + 1])):
+                running = np.cumsum(self.table[order][buckets], axis=0, dtype=np.float64)
+                total[at:upto] += running[end] - running[start - 1]  # the gap after the word closes its last string
+            at = upto
+        narrowed = self.scripts[words.script]
         narrowed |= ~narrowed.any(axis=1, keepdims=True)
         total[~narrowed] -= 50
-        return total, (end - start).astype(np.int32)
+        return total
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
@@ -144,13 +200,11 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, switch: float = SWIT
         counts = np.zeros((len(langs), 3 * BUCKETS + N_SCRIPTS), dtype=np.int64)
         for batch in batches:
             for text, lang in zip(as_bytes(batch, "text"), batch.column(1).to_pylist(), strict=True):
-                data = clean(text or b"")
+                words = split_words(text or b"")
                 row = counts[index[lang]]
-                for order, buckets in enumerate(grams(data)):
+                for order, buckets in enumerate(grams(words.data)):
                     row[order * BUCKETS : (order + 1) * BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
-                start, _ = word_spans(data, _GAP)
-                if len(start):
-                    row[3 * BUCKETS :] += np.bincount(np.maximum.reduceat(_SCRIPT[data], start), minlength=N_SCRIPTS)
+                row[3 * BUCKETS :] += np.bincount(words.script, minlength=N_SCRIPTS)
         lang, bucket = np.nonzero(counts)
         for at in range(0, max(1, len(lang)), 100_000):
             a, b = lang[at : at + 100_000], bucket[at : at + 100_000]
@@ -185,10 +239,11 @@ def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = True) ->
             for batch in pieces(whole, 24 << 20):
                 scores, letters = [], []
                 for text in as_bytes(batch, "text"):
-                    known = bool(text) and _LETTER.search(text.decode("utf-8", "replace")) is not None
-                    s, n = m.words(clean(text if known and k else b""))
-                    scores.append(s)
-                    letters.append(n)
+                    words = split_words(text if text and k else b"")
+                    if not words.letters.sum():
+                        words = split_words(b"")
+                    scores.append(m.scores(words))
+                    letters.append(words.letters)
                 names, shares, spans = [], [], []
                 for labels, n in zip(viterbi(scores, m.switch), letters, strict=True):
                     if not len(labels):

@@ -16,7 +16,9 @@ def op1_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_columns(table(spark, sf_dir, "documents"), with_media=False)
+    """The digest columns, and of the operator's media and tensors: the segments and a hash of the tensors."""
+    kept = audio.audio_columns(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.sha2("media", 256).alias("media_sha256"), "feature", F.sha2("tensors", 256).alias("tensors_sha256"), "segments")
 
 
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.learn(docs), with_spans=False)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = langid.identify(docs, langid.learn(docs))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.lang, s.first_word.cast("string"), s.n_words.cast("string"))), ",")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
 def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
