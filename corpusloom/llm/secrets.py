@@ -1,9 +1,10 @@
 """Secret scans by one combined deterministic automaton.
 
 Rule patterns are compiled to one NFA (Thompson), determinised by subset construction over byte
-classes and minimised by partition refinement, giving dense transition arrays. One pass over the
-bytes advances all rules at once; it flags the rules that may have a match. Only in texts with a
-flag, the rule's own anchored automaton then finds exact leftmost-longest spans.
+classes and minimised by partition refinement, giving dense transition arrays. The automaton is that of
+the reversed patterns: one pass over the bytes, from right to left, advances all rules at once and tells
+for each of them every byte at which a match begins. A match's end is then read from its beginning by the
+rule's own automaton; matches of a rule don't overlap, so the time is linear in the text.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ except ImportError:  # pragma: no cover - older Pythons
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: matches are leftmost and longest, and don't overlap within the rule. ``trigger``: a
-    pattern of which every accepted match holds an occurrence, for the one-pass scan (default: the
+    """``pattern``: matches are leftmost and longest, and don't overlap within the rule. ``start``: a
+    pattern with which every accepted match starts, for the one-pass scan (default: the
     pattern). ``keep``: a test on the matched text; matches that fail it are dropped, but consumed."""
 
     name: str
     pattern: str
-    trigger: str = ""
+    start: str = ""
     keep: str = ""
     ignore_case: bool = False
     base: bool = False
@@ -41,19 +42,20 @@ class Rule:
 
 #: Patterns of well-known credential formats, base rules first.
 RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", keep=r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$""", trigger=r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]""", ignore_case=True, base=True),
-    Rule("access", r"AKIA[A-Z0-9]+", trigger=r"AKIA[A-Z0-9]", keep=r"^.{20,}$", base=True),
-    Rule("hex", r"[0-9a-f]+", trigger=r"[0-9a-f]{24}", keep=r"^.{24,}$", base=True),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", keep=r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$""", ignore_case=True, base=True),
+    Rule("access", r"AKIA[A-Z0-9]+", keep=r"^.{20,}$", base=True),
+    Rule("hex", r"[0-9a-f]+", start=r"[0-9a-f]{24}", keep=r"^.{24,}$", base=True),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", keep=r"^.{40,}$", trigger=r"gh[pousr]_[A-Za-z0-9]"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", trigger=r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", keep=r"^.{15,}$", trigger=r"xox[abprs]-"),
-    Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]+", keep=r"^[Bb]earer\x20+.{16,}$", trigger=r"[Bb]earer\x20"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", keep=r"^.{40,}$"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", keep=r"^.{15,}$"),
+    Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]+", keep=r"^[Bb]earer\x20+.{16,}$"),
 )
 
 
 class _Nfa:
-    def __init__(self) -> None:
+    def __init__(self, backwards: bool) -> None:
+        self.backwards = backwards
         self.empty: list[list[int]] = []
         self.step: list[list[tuple[frozenset[int], int]]] = []
 
@@ -64,7 +66,7 @@ class _Nfa:
 
     def build(self, tree, fold: bool, start: int) -> int:
         """Adds the parsed pattern behind ``start``; returns its last state."""
-        for op, arg in tree:
+        for op, arg in reversed(list(tree)) if self.backwards else tree:
             start = self._node(str(op), arg, fold, start)
         return start
 
@@ -138,9 +140,9 @@ class Automaton:
         return len(self.accept)
 
 
-def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton:
-    """The minimal automaton of all patterns. Unanchored, it finds matches that begin at any byte."""
-    nfa = _Nfa()
+def compile_rules(patterns: list[tuple[str, bool]], anchored: bool, backwards: bool = False) -> Automaton:
+    """The minimal automaton of all patterns, or of all patterns read ``backwards``. Unanchored, matches may begin at any byte."""
+    nfa = _Nfa(backwards)
     root = nfa.state()
     finals: dict[int, int] = {}
     for bit, (pattern, fold) in enumerate(patterns):
@@ -208,21 +210,23 @@ def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton
 
 
 class Scanner:
-    """All rules compiled; ``flags`` is the one-pass scan, ``spans`` the exact matches of a flagged text."""
+    """All rules compiled; ``starts`` is the one-pass scan, ``spans`` the exact matches from it."""
 
     SEGMENT = 1024
+    FEW = 64  # segments; fewer than these are cheaper one by one than together
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = compile_rules([(r.trigger or r.pattern, r.ignore_case) for r in rules], anchored=False)
-        self.own = [compile_rules([(r.pattern, r.ignore_case)], anchored=True) for r in rules]
-        self.first = []
-        for own in self.own:
-            start = own.next[: own.n_classes]
-            dead = self._dead(own)
-            self.first.append(re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in range(256) if start[own.classes[b]] != dead) + b"]"))
+        self.all = compile_rules([(r.start or r.pattern, r.ignore_case) for r in rules], anchored=False, backwards=True)
+        assert self.all.resets[10], "no rule may cross a line end"
+        own = [compile_rules([(r.pattern, r.ignore_case)], anchored=True) for r in rules]
         self.tests = [re.compile(r.keep.encode()) if r.keep else None for r in rules]
-        self.tables = [(own.next.tolist(), own.classes.tolist(), own.accept.tolist(), own.n_classes, self._dead(own)) for own in self.own]
+        self.tables = [(x.next.tolist(), x.classes.tolist(), x.accept.tolist(), x.n_classes, self._dead(x)) for x in own]
+        self.scaled = self.all.next * np.int32(self.all.n_classes)
+        self.accepts = np.repeat(self.all.accept, self.all.n_classes)
+        self.hits = self.accepts != 0
+        self.rows = self.scaled.tolist()
+        self.marks = set(np.flatnonzero(self.hits).tolist())
 
     @staticmethod
     def _dead(own: Automaton) -> int:
@@ -230,53 +234,64 @@ class Scanner:
         dead = [i for i in range(own.n_states) if not own.accept[i] and (rows[i] == i).all()]
         return dead[0] if dead else -1
 
-    def flags(self, texts: list[bytes]) -> np.ndarray:
-        """For each text, the bits of the rules whose trigger occurs in it. The texts are cut into segments
-        at bytes that bring every state back to the start, and all segments advance together."""
-        out = np.zeros(len(texts), dtype=np.int64)
+    def starts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, the bytes at which rules start, ascending, and the bits of the rules. The texts are cut into
+        segments before bytes that bring every state back to the first, and all segments advance together from their
+        ends; the last few long ones go on byte by byte."""
         if not texts:
-            return out
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
+            return []
+        data = np.frombuffer(b"\n" + b"\n".join(texts), dtype=np.uint8)
+        begins = np.cumsum([1, *[len(t) + 1 for t in texts]])
         dfa = self.all
-        assert dfa.resets[10], "no rule may cross a line end"
-        cut = np.flatnonzero(dfa.resets[data]) + 1
-        goals = np.arange(self.SEGMENT, len(data), self.SEGMENT)
-        at = cut[np.minimum(np.searchsorted(cut, goals), len(cut) - 1)]
-        starts = np.unique(np.concatenate([[0], at, ends[:-1]]))
-        starts = starts[starts < len(data)]
-        lengths = np.diff(np.append(starts, len(data)))
-        owner = np.searchsorted(ends, starts, side="right")
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
+        cut = np.flatnonzero(dfa.resets[data])
+        goals = np.arange(0, len(data), self.SEGMENT)
+        first = np.unique(cut[np.minimum(np.searchsorted(cut, goals), len(cut) - 1)])
+        last = np.append(first[1:], len(data)) - 1
+        order = np.argsort(first - last, kind="stable")
+        last, lengths = last[order], (last - first + 1)[order]
         cls = dfa.classes[data]
-        state = np.zeros(len(starts), dtype=np.int32)
-        found = np.zeros(len(starts), dtype=np.int64)
-        hit = dfa.accept != 0
-        scaled = dfa.next * np.int32(dfa.n_classes)
-        hits = np.repeat(hit, dfa.n_classes)
-        accepts = np.repeat(dfa.accept, dfa.n_classes)
-        shorter = -lengths
-        for step in range(int(lengths[0]) if len(lengths) else 0):
-            live = int(np.searchsorted(shorter, -step, side="left"))
-            now = scaled[state[:live] + cls[starts[:live] + step]]
+        state = np.zeros(len(last), dtype=np.int32)
+        at, bits = [], []
+        step, live = 0, len(last)
+        while live > self.FEW:
+            now = self.scaled[state[:live] + cls[last[:live] - step]]
             state[:live] = now
-            got = hits[now]
-            if got.any():
-                found[:live] |= np.where(got, accepts[now], 0)
-        np.bitwise_or.at(out, owner, found)
-        return out
-
-    def spans(self, text: bytes, flags: int) -> list[tuple[int, int, int]]:
+            if (got := self.hits[now]).any():
+                at.append(last[:live][got] - step)
+                bits.append(self.accepts[now[got]])
+            step += 1
+            live = int(np.searchsorted(-lengths, -step, side="left"))
+        rows, marks = self.rows, self.marks
+        for i in range(live):
+            now, end = int(state[i]), int(last[i]) - step
+            begin = int(last[i] - lengths[i]) + 1
+            found = []
+            for j, c in zip(range(end, begin - 1, -1), cls[begin : end + 1][::-1].tolist(), strict=True):
+                now = rows[now + c]
+                if now in marks:
+                    found.append((j, now))
+            if found:
+                places, states = np.array(found, dtype=np.int64).T
+                at.append(places)
+                bits.append(self.accepts[states])
+        if not at:
+            return [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))] * len(texts)
+        places, flags = np.concatenate(at), np.concatenate(bits)
+        order = np.argsort(places)
+        places, flags = places[order], flags[order]
+        edge = np.searchsorted(places, begins)
+        return [(places[a:b] - begin, flags[a:b]) for a, b, begin in zip(edge[:-1], edge[1:], begins[:-1], strict=True)]
+
+    def spans(self, text: bytes, starts: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes: leftmost, longest, not overlapping within a rule."""
         found = []
-        for k in range(len(self.rules)):
-            if not flags >> k & 1:
-                continue
+        places, flags = starts
+        for k in range(len(self.rules)) if len(places) else ():
             nxt, classes, accept, width, dead = self.tables[k]
-            pos, first, test = 0, self.first[k], self.tests[k]
-            while (m := first.search(text, pos)) is not None:
-                begin = m.start()
+            pos, test = 0, self.tests[k]
+            for begin in places[flags >> k & 1 == 1].tolist():
+                if begin < pos:
+                    continue
                 state, end = 0, -1
                 for i in range(begin, len(text)):
                     state = nxt[state * width + classes[text[i]]]
@@ -285,7 +300,6 @@ class Scanner:
                     if accept[state]:
                         end = i + 1
                 if end < 0:
-                    pos = begin + 1
                     continue
                 if test is None or test.match(text[begin:end]):
                     found.append((begin, end, k))
@@ -293,6 +307,14 @@ class Scanner:
         return sorted(found)
 
 
+def code_point_spans(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Byte spans as spans of code points, by one running count over the text."""
+    if not found or text.isascii():
+        return found
+    upto = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
+    return [(int(upto[s]), int(upto[e]), k) for s, e, k in found]
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans of secrets in ``text``: (doc_id, spans array<struct<kind, start, end>>), in code points, by start.
 
@@ -309,10 +331,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             for batch in pieces(whole, 16 << 20):
                 texts = [t or b"" for t in as_bytes(batch, "text")]
                 rows = []
-                for text, flag in zip(texts, scan.flags(texts), strict=True):
-                    found = scan.spans(text, int(flag)) if flag else []
-                    shift = (lambda i: i) if text.isascii() else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
-                    rows.append([{"kind": rules[k].name, "start": shift(s), "end": shift(e)} for s, e, k in found])
+                for text, starts in zip(texts, scan.starts(texts), strict=True):
+                    found = code_point_spans(text, scan.spans(text, starts))
+                    rows.append([{"kind": rules[k].name, "start": s, "end": e} for s, e, k in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, keyed(docs, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
@@ -331,9 +352,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
                 raw = as_bytes(batch, "text")
                 texts = [t or b"" for t in raw]
                 out = []
-                for original, text, flag in zip(raw, texts, scan.flags(texts), strict=True):
+                for original, text, starts in zip(raw, texts, scan.starts(texts), strict=True):
                     parts, at = [], 0
-                    for s, e, _ in scan.spans(text, int(flag)) if flag else []:
+                    for s, e, _ in scan.spans(text, starts):
                         if s >= at:
                             parts += [text[at:s], mark.encode()]
                         at = max(at, e)
