@@ -1,21 +1,25 @@
 """Benchmark decontamination by a generalised suffix automaton over the items' words.
 
 The automaton holds every substring of every item. Document words stream through it; the matched
-length at each word tells whether a window of the items ends there. Items are taken in blocks of
-bounded size, one automaton each, so the broadcast never grows with the benchmark.
+length at each word tells whether a window of the items ends there. Items are dealt to blocks of about
+``BLOCK_CHARS`` characters, one automaton each. One block is scanned in one pass; of several, one at a time is
+collected, broadcast, scanned for and given up again, so that what driver and tasks hold doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import as_bytes, keyed
 from corpusloom.llm.hashing import prefix_hash, span_hashes, word_spans
+from corpusloom.session import Scratch
 
 WINDOW = 10
 BLOCK_CHARS = 2_000_000
@@ -115,7 +119,7 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
+    def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, set[str | None]]]:
         """(first word, end word, items) of each occurrence of a window. Only runs of words that items
         have, long enough for the shortest window, go through the automaton."""
         if not len(self.known) or not len(words):
@@ -145,22 +149,67 @@ class SuffixAutomaton:
                     v = self.up[v]
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[SuffixAutomaton]:
-    """Automata of consecutive blocks of items, each of at most ``block_chars`` characters (or one item).
+def n_blocks(benchmark: DataFrame, block_chars: int) -> int:
+    """Blocks that the items are dealt to by hash: as many as leave about ``block_chars`` characters to each."""
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, math.ceil(total / block_chars))
 
-    Null texts and items without words have no windows. Items of one id are one item.
-    """
-    sized = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    rows: list[tuple[str, list[int]]] = []
-    held = 0
-    for item, text in sized.toLocalIterator():  # one partition at a time; blocks are handed on as they fill
-        if rows and held + len(text) > block_chars:
-            yield SuffixAutomaton(rows, window)
-            rows, held = [], 0
-        rows.append((item, word_ids(text.encode())[2].tolist()))
-        held += len(text)
-    if rows:
-        yield SuffixAutomaton(rows, window)
+
+def block_automaton(benchmark: DataFrame, window: int, block: int, blocks: int) -> SuffixAutomaton:
+    """The automaton of one block of items. Null texts and items without words have no windows. Items of one id are one
+    item; the windows of items without an id are hit, but name no item."""
+    sized = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    mine = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct()
+    return SuffixAutomaton([(r["item"], word_ids(r["text"].encode())[2].tolist()) for r in mine.toLocalIterator()], window)
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of words that the spans cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
+    start, end, _ = word_ids(text)
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(text[at : start[a]])
+        at = int(end[b - 1])
+    return b"".join([*parts, text[at:]]).decode("utf-8", "replace")
+
+
+def _batch(key: pa.Array, raw: list[bytes | None], found: list[tuple], with_text: bool, name: str) -> pa.RecordBatch:
+    """Rows of (number of words, spans, items) as a batch."""
+    spans = [x[1] for x in found]
+    out = [key, pa.array([x[0] for x in found], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)]
+    if with_text:
+        out.append(pa.array([None if t is None else _without(t, s) if s else t.decode("utf-8", "replace") for t, s in zip(raw, spans, strict=True)], pa.string()))
+    return pa.RecordBatch.from_arrays(out, names=[name, "n_words", "n_hit", "items", "spans", "clean_text"][: len(out)])
+
+
+def _pass(docs: DataFrame, automaton: SuffixAutomaton, with_text: bool, key: str = "doc_id") -> tuple[DataFrame, Broadcast]:
+    """Documents against one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, found = as_bytes(batch, "text"), []
+            for text in raw:
+                words = word_ids(text or b"")[2]
+                hits = list(shared.value.matches(words))
+                found.append((len(words), _merged([(a, b) for a, b, _ in hits]), {n for _, _, names in hits for n in names if n is not None}))
+            yield _batch(batch.column(0), raw, found, with_text, key)
+
+    return docs.select(key, "text").mapInArrow(run, keyed(docs, _FOUND + (", clean_text string" if with_text else ""), key)), shared
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, with_text: bool = False) -> DataFrame:
@@ -171,43 +220,27 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     an item, or a whole shorter item. Null and empty texts have no words. Repeated rows are scanned
     each; an empty benchmark hits nothing. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(a) for a in item_blocks(benchmark, window, block_chars)]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def one(text: bytes) -> tuple:
-        start, end, words = word_ids(text)
-        hit = np.zeros(len(words) + 1, dtype=np.int32)
-        names: set[str] = set()
-        for block in shared:
-            for a, b, items in block.value.matches(words):
-                hit[a] += 1
-                hit[b] -= 1
-                names |= items
-        inside = np.cumsum(hit)[:-1] > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))).tolist()
-        spans = list(zip(edge[0::2], edge[1::2], strict=True))
-        left = None
-        if with_text:
-            parts, at = [], 0
-            for a, b in spans:
-                parts.append(text[at : start[a]])
-                at = int(end[b - 1])
-            left = b"".join([*parts, text[at:]]).decode("utf-8", "replace")
-        return len(words), int(inside.sum()), sorted(names), [{"start": a, "end": b} for a, b in spans], left
+    blocks = n_blocks(benchmark, block_chars)
+    if blocks == 1:
+        return _pass(docs, block_automaton(benchmark, window, 0, 1), with_text)[0]
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = None
+    for block in range(blocks):
+        scanned, shared = _pass(rows, block_automaton(benchmark, window, block, blocks), False, "row")
+        part = scratch.keep(scanned.where("n_hit > 0").select("row", "items", "spans"))
+        shared.destroy()
+        found = part if found is None else found.unionAll(part)
+    found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    both = rows.join(found, "row", "left").select("doc_id", "text", "items", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = as_bytes(batch, "text")
-            rows = [one(t or b"") for t in raw]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            out = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], span)]
-            if with_text:
-                out.append(pa.array([None if t is None else left for t, left in zip(raw, columns[4], strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_hit", "items", "spans", "clean_text"][: len(out)])
-
-    ddl = "n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(run, keyed(docs, ddl + (", clean_text string" if with_text else "")))
+            spans = [_merged([(x["start"], x["end"]) for x in s or ()]) for s in batch.column(3).to_pylist()]
+            yield _batch(batch.column(0), raw, [(len(word_ids(t or b"")[2]), s, n or ()) for t, s, n in zip(raw, spans, batch.column(2).to_pylist(), strict=True)], with_text, "doc_id")
+
+    return both.mapInArrow(run, keyed(docs, _FOUND + (", clean_text string" if with_text else "")))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
