@@ -143,3 +143,54 @@ def normalise_answer(text: Column) -> Column:
 
 def final_answer(text: Column, mark: str = "FINAL ANSWER: ") -> Column:
     return F.when(F.contains(text, F.lit(mark)), F.substring_index(text, mark, -1)).otherwise(text)
+
+
+def clean_prefix(text: Column, pattern: str) -> Column:
+    """Without ``pattern`` at the start, and the white space and punctuation after it."""
+    return F.regexp_replace(text, rf"^{pattern}[\s.,]*", "")
+
+
+def clean_postfix(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, rf"[\s.,]*{pattern}\z", "")
+
+
+def bytes_string(text: Column) -> Column:
+    r"""The text of a byte literal such as b'caf\xc3\xa9': escapes are taken as bytes of UTF-8."""
+    inner = F.regexp_replace(text, r"^b['\"]|['\"]$", "")
+    hexed = F.transform(F.split(F.regexp_replace(inner, r"(\\x[0-9a-f]{2})", "\u0001$1\u0001"), "\u0001"), lambda x: F.when(F.rlike(x, F.lit(r"^\\x[0-9a-f]{2}$")), F.substring(x, 3, 2)).otherwise(F.hex(x.cast("binary"))))
+    return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-8")
+
+
+def mapi_ids(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), F.lit(0))
+
+
+def ordered_bullet_parts(text: Column) -> Column:
+    """The three parts of a leading section number such as 2.1.c; missing ones are empty."""
+    first = F.substring_index(text, " ", 1)
+    parts = F.split(first, r"\.")
+    return F.when(F.rlike(first, F.lit(r"^\w{1,2}(\.\w{0,2}){1,2}$")), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(parts, i), F.lit(""))))
+
+
+def text_before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
+
+def text_after(text: Column, mark: str) -> Column:
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.instr(text, mark) + len(mark), F.length(text))).otherwise("")
+
+
+def han_grams(text: Column, n: int, step: int = 1) -> Column:
+    """Strings of ``n`` Han characters of each run of them, every ``step`` characters."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\x{4E00}-\x{9FA5}]+"), F.lit(0))
+    of = lambda r: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1, F.lit(step)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(runs, of))
+
+
+def image_tokens(width: Column, height: Column) -> Column:
+    """85, and 170 for each tile of 512 after scaling into 2048, then to 768 on the short side."""
+    w, h = width.cast("double"), height.cast("double")
+    fit = F.least(F.lit(1.0), F.lit(2048.0) / F.greatest(w, h))
+    w, h = w * fit, h * fit
+    fit = F.least(F.lit(1.0), F.lit(768.0) / F.least(w, h))
+    return (85 + 170 * F.ceil(h * fit / 512) * F.ceil(w * fit / 512)).cast("long")
