@@ -6,28 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of (id, text): terms are split at single spaces, empty ones included."""
-    split = docs.select("id", F.split("text", " ").alias("t"))
-    return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+def terms(text: Column) -> Column:
+    """Split at single spaces, empty terms included."""
+    return F.split(text, " ")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(qid, id, score) of every document that shares a term with a query (qid, text).
 
     Okapi weights; negative inverse document frequencies become ``epsilon`` times their average.
-    Only postings of query terms are joined; corpus statistics are one row.
+    Document frequencies are counted over distinct terms of a document, combined before their shuffle; postings are
+    cut down to query terms before they are grouped. Corpus statistics are one row.
     """
-    lists = postings(docs)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.split("text", " "))).alias("avgdl"))
-    df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    split = docs.select("id", terms(F.col("text")).alias("t"))
+    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    df = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.join(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
     average = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(average)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    terms = queries.select("qid", F.explode(F.split("text", " ")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    idf = idf.join(asked.select("term").distinct(), "term", "left_semi")
+    idf = idf.join(F.broadcast(average)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+    lists = split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    lists = lists.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     tf = F.col("tf")
     weight = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return terms.join(lists, "term").join(idf, "term").groupBy("qid", "id").agg(F.sum(weight).alias("score"))
+    return asked.join(idf, "term").join(lists, "term").groupBy("qid", "id").agg(F.sum(weight).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -45,10 +48,24 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, weights: tuple[f
     return ranked(both.select("qid", "id", score.alias("rrf")), k, "rrf")
 
 
-def keyword_score(query_terms: Column, text: Column) -> Column:
-    """Share of the query's terms that the lower-cased text contains."""
+def fused_by_text(vector: DataFrame, lexical: DataFrame, weights: tuple[float, float] = (0.8, 0.2), constant: int = 60, k: int = 20) -> DataFrame:
+    """(qid, text, rrf, rank) of two ranked lists (qid, text, rank), merged by text: of texts that one list holds
+    twice, the vector list counts the last rank, the lexical one the first."""
+    if min(weights) < 0:
+        raise ValueError("weights can't be negative")
+    a = vector.groupBy("qid", "text").agg(F.max("rank").alias("rank"))
+    b = lexical.groupBy("qid", "text").agg(F.min("rank").alias("rank"))
+    return reciprocal_rank_fusion(a.withColumnRenamed("text", "id"), b.withColumnRenamed("text", "id"), weights, constant, k).withColumnRenamed("id", "text")
+
+
+def keyword_score(query_terms: Column, text: Column, prefix: Column | None = None, query: Column | None = None) -> Column:
+    """Share of the query's terms that the lower-cased text contains; +0.5 if query or prefix contains the other (an empty prefix does)."""
     low = F.lower(text)
-    return F.size(F.filter(query_terms, lambda t: F.contains(low, t))) / F.greatest(F.size(query_terms), F.lit(1))
+    share = F.size(F.filter(query_terms, lambda t: F.contains(low, t))) / F.greatest(F.size(query_terms), F.lit(1))
+    if prefix is None or query is None:
+        return share
+    p, q = F.lower(F.coalesce(prefix, F.lit(""))), F.lower(query)
+    return share + F.when(F.contains(p, q) | F.contains(q, p), 0.5).otherwise(0.0)
 
 
 def category_boost(score: Column, category: Column, wanted: str) -> Column:

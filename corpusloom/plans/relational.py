@@ -100,17 +100,17 @@ def a12(spark, d):
     return T.event_kpis(table(spark, d, "events"), "event_type").select("event_type", "n_events", F.round("span_s", 6).cast("double").alias("span_s"))
 
 
-@register("a16_centrality", "WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 200), n AS (SELECT 'p' || l_partkey AS id FROM e UNION ALL SELECT 's' || l_suppkey FROM e), c AS (SELECT id, count(*) AS deg FROM n GROUP BY id) SELECT id, round(deg::DOUBLE / (SELECT count(*) - 1 FROM c), 9) AS centrality FROM c")
+@register("a16_centrality", "WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT 'p' || l_partkey AS id FROM e UNION ALL SELECT 's' || l_suppkey FROM e), c AS (SELECT id, count(*) AS deg FROM n GROUP BY id) SELECT id, round(deg::DOUBLE / (SELECT count(*) - 1 FROM c), 9) AS centrality FROM c")
 def a16(spark, d):
     return N.degree_centrality(_part_supplier(spark, d)).select("id", F.round("centrality", 9).alias("centrality"))
 
 
 def _part_supplier(spark, d):
-    lines = table(spark, d, "lineitem").where("l_partkey <= 200").select("l_partkey", "l_suppkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return lines.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
 
 
-@register("n11_k_hops", "WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey <= 200), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), h1 AS (SELECT DISTINCT b AS id FROM u WHERE a = 'p1'), h2 AS (SELECT DISTINCT u.b AS id FROM u JOIN h1 ON u.a = h1.id) SELECT 'p1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM h1 WHERE id <> 'p1' UNION ALL SELECT id, 2 FROM h2 WHERE id <> 'p1' AND id NOT IN (SELECT id FROM h1)")
+@register("n11_k_hops", "WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), h1 AS (SELECT DISTINCT b AS id FROM u WHERE a = 'p1'), h2 AS (SELECT DISTINCT u.b AS id FROM u JOIN h1 ON u.a = h1.id) SELECT 'p1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM h1 WHERE id <> 'p1' UNION ALL SELECT id, 2 FROM h2 WHERE id <> 'p1' AND id NOT IN (SELECT id FROM h1)")
 def n11(spark, d):
     start = spark.createDataFrame([("p1",)], "id string")
     return N.k_hops(_part_supplier(spark, d), start, 2).select("id", "depth")

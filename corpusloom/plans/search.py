@@ -12,13 +12,16 @@ from corpusloom.session import table
 _E = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
+_EMB_OF = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda c: (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE)"
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return e, e.where("id < 10").select(F.col("id").alias("qid"), F.col("vector").alias("query_vector"))
+    return e, e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query_vector"))
 
 
 def _top(score):
-    return f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {score} AS s FROM e JOIN e AS q ON q.vec_id < 10 AND e.vec_id <> q.vec_id) SELECT qid, id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5"
+    return f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {score} AS s FROM e JOIN e AS q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT qid, id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5"
 
 
 def _run(metric, profile="flat"):
@@ -45,6 +48,77 @@ for _name, _metric, _profile, _sql in (
     register(_name, _top(_sql))(_run(_metric, _profile))
 
 
+@register("v04_clipped_dot", _top(f"greatest(0.0::DOUBLE, {_DOT})"))
+def v04_clipped_dot(spark, d):
+    return _run("dot", "clipped")(spark, d)
+
+
+@register("v04_clipped_cosine", _top("least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_cosine_similarity(q.v, e.v)))"))
+def v04_clipped_cosine(spark, d):
+    return _run("cosine", "clipped")(spark, d)
+
+
+def _payloads(spark, d):
+    payload = F.when(F.col("vec_id") % 7 > 0, F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("half"), (F.col("vec_id") % 2).cast("string")))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"))
+
+
+@register("v05_inverted_lists")
+def v05(spark, d):
+    """The 10 most similar rows by the approximate index; tests measure its recall against the exact search."""
+    t, q = _vectors(spark, d)
+    index = V.InvertedLists(t, lists=IVF_LISTS)
+    return index.topk(q, 10, probes=IVF_PROBES).select("qid", "id", "rank")
+
+
+IVF_LISTS, IVF_PROBES = 32, 24
+
+
+@register("v07_add", "SELECT count(*) AS n FROM embeddings")
+def v07(spark, d):
+    e = _vectors(spark, d)[0]
+    return V.add(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 64).agg(F.count("vector").alias("n"))
+
+
+@register("v09_update", "SELECT vec_id AS id, CASE WHEN vec_id % 7 > 0 THEN CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE CAST(label AS VARCHAR) END WHEN vec_id % 3 = 0 THEN 'new' END AS label, CASE WHEN vec_id % 7 > 0 THEN CAST(vec_id % 2 AS VARCHAR) END AS half FROM embeddings")
+def v09(spark, d):
+    t = _payloads(spark, d)
+    changes = t.where("id % 3 = 0").select("id", F.create_map(F.lit("label"), F.lit("new")).alias("payload"))
+    return V.update_payload(t, changes).select("id", F.col("payload")["label"].alias("label"), F.col("payload")["half"].alias("half"))
+
+
+def _topk_sql(where="true", k=5):
+    return f"WITH e AS (SELECT vec_id, label, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, list_cosine_similarity(q.v, e.v) AS s FROM e JOIN e AS q ON q.vec_id % 100 = 0 WHERE {where}), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= {k})"
+
+
+@register("v11_payloads", _topk_sql() + " SELECT qid, id, rank, CAST(label AS VARCHAR) AS label FROM t WHERE id % 7 > 0")
+def v11(spark, d):
+    return V.payloads(_payloads(spark, d), _vectors(spark, d)[1], 5).select("qid", "id", "rank", F.col("payload")["label"].alias("label"))
+
+
+@register("v13_embed", f"SELECT item_id, array_to_string(list_transform({_EMB_OF}, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS vector FROM benchmark")
+def v13(spark, d):
+    vector = V.letter_embedding(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(vector, lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
+@register("v15_pairwise", f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def v15(spark, d):
+    e = _vectors(spark, d)[0]
+    after = e.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("vector").alias("w"))
+    return e.join(after, "id").select(F.col("id").alias("a"), "b", F.round(V.cosine(F.col("vector"), F.col("w")), 6).alias("similarity"))
+
+
+@register("p10_payload_filter", _topk_sql("e.label = 3 AND e.vec_id % 2 = 1 AND e.vec_id % 7 > 0") + " SELECT qid, id, rank FROM t")
+def p10(spark, d):
+    return V.filtered_topk(_payloads(spark, d), _vectors(spark, d)[1], 5, {"label": "3", "half": "1"}).select("qid", "id", "rank")
+
+
+@register("p10_post_filter", _topk_sql(k=10) + " SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM t WHERE id % 2 = 1 AND id % 7 > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 5")
+def p10_post(spark, d):
+    return V.filtered_topk(_payloads(spark, d), _vectors(spark, d)[1], 5, {"half": "1"}, post=True).select("qid", "id", "rank")
+
+
 @register("v08_delete", "SELECT vec_id AS id FROM embeddings WHERE vec_id >= 50 AND label <> 3")
 def v08(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
@@ -56,7 +130,7 @@ def v10(spark, d):
     return V.status(_vectors(spark, d)[0])
 
 
-@register("p13_threshold", f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS s FROM e JOIN e AS q ON q.vec_id < 10 AND e.vec_id <> q.vec_id), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5) SELECT q.vec_id AS qid, t.id FROM e AS q LEFT JOIN t ON t.qid = q.vec_id AND t.s >= 0.38 WHERE q.vec_id < 10")
+@register("p13_threshold", f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS s FROM e JOIN e AS q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5) SELECT q.vec_id AS qid, t.id FROM e AS q LEFT JOIN t ON t.qid = q.vec_id AND t.s >= 0.38 WHERE q.vec_id % 100 = 0")
 def p13(spark, d):
     t, q = _vectors(spark, d)
     return V.with_threshold(V.topk(t, q, 5, exclude_self=True), q, 0.38).select("qid", "id")
@@ -69,7 +143,7 @@ def d01(spark, d):
 
 def _text(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs, table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), "text")
+    return docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 _BM25 = """
@@ -78,26 +152,38 @@ p AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM t GROUP BY term, id),
 st AS (SELECT count(*) AS n, avg(len(string_split(text, ' '))) AS avgdl FROM documents),
 i0 AS (SELECT term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p, st GROUP BY term, n),
 i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
-q AS (SELECT item_id AS qid, unnest(string_split(text, ' ')) AS term FROM benchmark WHERE item_id < 5),
+q AS (SELECT item_id AS qid, unnest(string_split(text, ' ')) AS term FROM benchmark),
 s AS (SELECT qid, p.id, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN i USING (term), st GROUP BY qid, p.id)
 """
 
 
-@register("r03_bm25", _BM25 + "SELECT qid, id, round(score, 6) AS score FROM s")
+_TOP = "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 50"
+
+
+@register("r03_bm25", _BM25 + "SELECT qid, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) <= 50")
 def r03(spark, d):
     docs, queries = _text(spark, d)
-    return L.bm25(docs, queries).select("qid", "id", F.round("score", 6).alias("score"))
+    return L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 50).select("qid", "id", "score")
+
+
+_EMB = _EMB_OF
+_NEAR = f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT q.item_id AS qid, e.doc_id AS id, round(list_dot_product(q.v, e.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-10) * greatest(sqrt(list_dot_product(e.v, e.v)), 1e-10)), 9) AS s FROM (SELECT item_id, {_EMB} AS v FROM benchmark) q, (SELECT doc_id, {_EMB} AS v FROM documents) e) WHERE s >= 0.5 QUALIFY rank <= 50"
 
 
-_SHORT = "SELECT item_id AS qid, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS rank FROM documents, benchmark WHERE item_id < 5 QUALIFY rank <= 50"
+def _near(docs, queries, k=50):
+    """The ``k`` documents most similar to each query by the stand-in encoder, at least 0.5."""
+    hits = V.topk(docs.select("id", V.letter_embedding(F.col("text")).alias("vector")), queries.select("qid", V.letter_embedding(F.col("text")).alias("query_vector")), 2 * k)
+    return V.first_k(hits.drop("rank").withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.5"), k)
 
 
-@register("r04_rrf", _BM25 + f", b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 50), a AS ({_SHORT}), f AS (SELECT qid, id, coalesce(0.8::DOUBLE / (60 + a.rank), 0) + coalesce(0.2::DOUBLE / (60 + b.rank), 0) AS rrf FROM a FULL JOIN b USING (qid, id)) SELECT qid, id, round(rrf, 9) AS rrf FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, id) <= 20")
+@register("r04_rrf", _BM25 + f", b AS ({_TOP}), a AS ({_NEAR}), t AS (SELECT doc_id AS id, text FROM documents), av AS (SELECT qid, text, max(rank) AS rank FROM a JOIN t USING (id) GROUP BY qid, text), bv AS (SELECT qid, text, min(rank) AS rank FROM b JOIN t USING (id) GROUP BY qid, text), f AS (SELECT qid, md5(text) AS text_md5, text, round(coalesce(0.8::DOUBLE / (60 + av.rank), 0) + coalesce(0.2::DOUBLE / (60 + bv.rank), 0), 9) AS rrf FROM av FULL JOIN bv USING (qid, text)) SELECT qid, text_md5, rrf FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, text_md5) <= 20")
 def r04(spark, d):
     docs, queries = _text(spark, d)
-    lexical = L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 50)
-    other = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score")).join(F.broadcast(queries.select("qid")))
-    return L.reciprocal_rank_fusion(L.ranked(other, 50), lexical).select("qid", "id", F.round("rrf", 9).alias("rrf"))
+    texts = docs.withColumn("text_md5", F.md5("text"))
+    lexical = L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 50).join(texts, "id").select("qid", F.col("text_md5").alias("text"), "rank")
+    near = _near(docs, queries).join(texts, "id").select("qid", F.col("text_md5").alias("text"), "rank")
+    fused = L.fused_by_text(near, lexical, k=10**6).select("qid", F.col("text").alias("id"), F.round("rrf", 9).alias("rrf"))
+    return L.ranked(fused, 20, "rrf").select("qid", F.col("id").alias("text_md5"), "rrf")
 
 
 @register("r11_category", "SELECT p_partkey, round(p_retailprice + CASE WHEN p_type = 'A/B' THEN 0.08::DOUBLE WHEN string_split(p_type, '/')[1] = 'A' THEN 0.03::DOUBLE ELSE -0.02::DOUBLE END, 6) AS score FROM part")
