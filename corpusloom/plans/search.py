@@ -176,7 +176,7 @@ def _near(docs, queries, k=50):
     return V.first_k(hits.drop("rank").withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.5"), k)
 
 
-@register("r04_rrf", _BM25 + f", b AS ({_TOP}), a AS ({_NEAR}), t AS (SELECT doc_id AS id, text FROM documents), av AS (SELECT qid, text, max(rank) AS rank FROM a JOIN t USING (id) GROUP BY qid, text), bv AS (SELECT qid, text, min(rank) AS rank FROM b JOIN t USING (id) GROUP BY qid, text), f AS (SELECT qid, md5(text) AS text_md5, text, round(coalesce(0.8::DOUBLE / (60 + av.rank), 0) + coalesce(0.2::DOUBLE / (60 + bv.rank), 0), 9) AS rrf FROM av FULL JOIN bv USING (qid, text)) SELECT qid, text_md5, rrf FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, text_md5) <= 20")
+@register("r04_rrf", _BM25 + f", b AS ({_TOP}), a AS ({_NEAR}), tx AS (SELECT doc_id AS id, text FROM documents), av AS (SELECT qid, text, max(rank) AS rank FROM a JOIN tx USING (id) GROUP BY qid, text), bv AS (SELECT qid, text, min(rank) AS rank FROM b JOIN tx USING (id) GROUP BY qid, text), f AS (SELECT qid, md5(text) AS text_md5, text, round(coalesce(0.8::DOUBLE / (60 + av.rank), 0) + coalesce(0.2::DOUBLE / (60 + bv.rank), 0), 9) AS rrf FROM av FULL JOIN bv USING (qid, text)) SELECT qid, text_md5, rrf FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, text_md5) <= 20")
 def r04(spark, d):
     docs, queries = _text(spark, d)
     texts = docs.withColumn("text_md5", F.md5("text"))
