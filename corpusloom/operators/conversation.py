@@ -75,3 +75,16 @@ def running_budget(df: DataFrame, key: str, order: str, size: Column, limit: int
     """Rows in order until the sizes first exceed ``limit``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= limit)
+
+
+def without_calls(messages: DataFrame) -> DataFrame:
+    """Without tool messages and assistant messages that call a tool."""
+    call = (F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>"))
+    return messages.where(~F.col("role").isin("tool", "function") & ~call)
+
+
+def pop_last(messages: DataFrame, n: int) -> DataFrame:
+    """All messages with ``kept``: false for the last ``n`` unprotected ones of each conversation."""
+    free = ~_protected(F.col("role"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.when(free, 0).otherwise(1), F.desc("turn")))
+    return messages.withColumn("kept", ~free | (rank > n))

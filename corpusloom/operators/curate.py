@@ -44,19 +44,18 @@ def failed_filters(text: Column, names: tuple[str, ...], first_only: bool = Fals
 
 
 def all_at_least(scores: Column, thresholds: dict[str, float]) -> Column:
-    """Whether each named score reaches its threshold; a missing one counts as 0."""
+    """Whether each named score reaches its threshold; a missing one fails the job."""
     out = F.lit(True)
     for name, least in thresholds.items():
-        out = out & (F.coalesce(scores[name], F.lit(0.0)) >= least)
+        out = out & (F.coalesce(scores[name], F.raise_error(F.lit(f"no score {name}")).cast("double")) >= least)
     return out
 
 
 def first_by_key(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
-    """The first row of each key, by ``order``."""
+    """The first row of each key, by ``order``; combined before the shuffle, so a hot key is no task's burden."""
     names = [f"_k{i}" for i in range(len(key))]
-    keyed = df.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    return keyed.withColumn("_rn", rank).where("_rn = 1").drop("_rn", *names)
+    keyed = df.select(*[k.alias(n) for k, n in zip(key, names, strict=True)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(*order).alias("_order"))
+    return keyed.groupBy(*names).agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
@@ -64,8 +63,27 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
 
 
-def strict_then_relaxed(df: DataFrame, key: str, strict: Column, relaxed: Column) -> DataFrame:
-    """Rows that pass ``strict``; for keys without any, rows that pass ``relaxed``."""
-    marked = df.withColumn("_s", F.coalesce(strict, F.lit(False)))
-    some = F.max("_s").over(Window.partitionBy(key))
-    return marked.withColumn("_any", some).where(F.col("_s") | (~F.col("_any") & F.coalesce(relaxed, F.lit(False)))).drop("_s", "_any")
+def strict_then_relaxed(df: DataFrame, key: str | None, strict: Column, relaxed: Column) -> DataFrame:
+    """Rows that pass ``strict``; for keys without any, rows that pass ``relaxed``. Without a key all rows are one.
+
+    Which keys have a strict row is an aggregate, joined back; rows of a key never meet in one task.
+    """
+    marked = df.withColumns({"_s": F.coalesce(strict, F.lit(False)), "_r": F.coalesce(relaxed, F.lit(False))}).where("_s OR _r")
+    if key is None:
+        some = marked.agg(F.coalesce(F.bool_or("_s"), F.lit(False)).alias("_any"))
+        return marked.join(F.broadcast(some)).where("_s OR NOT _any").drop("_s", "_r", "_any")  # one row
+    having = marked.where("_s").select(F.col(key).alias("_key"), F.lit(True).alias("_any")).distinct()
+    return marked.join(having, marked[key].eqNullSafe(having["_key"]), "left").where("_s OR _any IS NULL").drop("_s", "_r", "_key", "_any")
+
+
+def sentence_triples(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, premise, middle, conclusion): neighbouring sentences of which the first two have more than 10 characters.
+
+    The sentences are split once: they are exploded with their place, and a triple is three rows of a window.
+    """
+    from pyspark.sql import Window
+
+    split = docs.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("at", "s")).select("doc_id", "at", F.trim("s").alias("s")).where("s <> ''")
+    w = Window.partitionBy("doc_id").orderBy("at")
+    found = split.select("doc_id", (F.row_number().over(w) - 1).alias("i"), F.col("s").alias("premise"), F.lead("s", 1).over(w).alias("middle"), F.lead("s", 2).over(w).alias("conclusion"))
+    return found.where("conclusion IS NOT NULL AND length(premise) > 10 AND length(middle) > 10")

@@ -43,30 +43,93 @@ def k_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, source: str, max_steps: int = 32) -> DataFrame:
-    """(id, cost, path): least-cost undirected paths from ``source`` by relaxation; ties take the path that sorts first."""
+def shortest_paths(edges: DataFrame, source: str, most_rounds: int | None = None) -> DataFrame:
+    """(id, cost, path): least-cost undirected paths from ``source``; ties take the path that sorts first. Weights can't be negative.
+
+    Each round relaxes the edges of nodes that improved, until none does, or raises after ``most_rounds``.
+    """
     scratch = Scratch(edges.sparkSession)
     spark = edges.sparkSession
+    if edges.where("weight < 0").limit(1).count():
+        raise ValueError("a weight is negative")
     both = edges.select("src", "dst", "weight").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     best = spark.createDataFrame([(source, 0.0, [source])], "id string, cost double, path array<string>")
-    frontier = best
-    for _ in range(max_steps):
+    frontier, rounds = best, 0
+    while True:
         step = frontier.join(both, frontier["id"] == both["src"]).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        both_best = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
-        now = both_best.groupBy("id").agg(F.min(F.struct("cost", "path", "old")).alias("m")).select("id", "m.cost", "m.path", "m.old")
-        now = scratch.keep(now)
-        frontier = now.where("NOT old").drop("old")
-        best = now.drop("old")
+        both_best = best.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True)))
+        now = scratch.keep(both_best.groupBy("id").agg(F.min(F.struct("cost", "path", "new")).alias("m")).select("id", "m.cost", "m.path", "m.new"))
+        frontier = now.where("new").drop("new")
+        best = now.drop("new")
+        rounds += 1
         if frontier.isEmpty():
-            break
-    return best
+            return best
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"paths still change after {rounds} rounds")
 
 
 def delta_merge(base: DataFrame, delta: DataFrame, key: str, number: str) -> DataFrame:
-    """Rows of ``delta`` replace those of the same key; they are numbered on from the largest ``number``."""
+    """Rows of ``delta`` replace those of the same key; they are numbered on from the largest ``number``, in order of the key.
+
+    The delta is dealt to ranges of the key; a range's rows are numbered within it, after the counts of the ranges before.
+    """
     from pyspark.sql import Window
 
     kept = base.join(delta.select(key), key, "left_anti")
     top = base.agg(F.coalesce(F.max(number), F.lit(-1)).alias("top"))
-    fresh = delta.drop(number).withColumn("rn", F.row_number().over(Window.orderBy(key))).join(F.broadcast(top)).withColumn(number, (F.col("top") + F.col("rn")).cast("long")).drop("top", "rn")
-    return kept.unionByName(fresh)
+    fresh = Scratch(delta.sparkSession).keep(delta.drop(number).repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    before = fresh.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("_range", (F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("_before"))  # one row for each range
+    rn = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    fresh = fresh.join(F.broadcast(before), "_range").withColumn("_rn", rn).join(F.broadcast(top))  # as many rows as ranges, and one
+    return kept.unionByName(fresh.withColumn(number, (F.col("top") + F.col("_before") + F.col("_rn")).cast("long")).drop("top", "_range", "_before", "_rn"))
+
+
+def node_schema(nodes: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(label, properties): sorted names of the properties of nodes (label, properties map) that have a value."""
+    each = nodes.select("label", F.explode(F.map_filter("properties", lambda k, v: v.isNotNull())).alias("k", "v")).where(~F.col("k").isin(*exclude))
+    return each.select("label", "k").distinct().groupBy("label").agg(F.array_sort(F.collect_list("k")).alias("properties"))
+
+
+def edge_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, rel, end) labels that edges (subj, rel, obj) join, each once."""
+    label = nodes.select("id", "label")
+    both = edges.join(label.withColumnsRenamed({"id": "subj", "label": "start"}), "subj").join(label.withColumnsRenamed({"id": "obj", "label": "end"}), "obj")
+    return both.select("start", "rel", "end").distinct()
+
+
+def delete_triplets(nodes: DataFrame, edges: DataFrame, gone: DataFrame, prune: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) and edges (subj, rel, obj) without the triplets ``gone``; ``prune`` drops their ends if no edge is left there."""
+    left = edges.join(gone.select("subj", "rel", "obj"), ["subj", "rel", "obj"], "left_anti")
+    if not prune:
+        return nodes, left
+    ends = lambda df: df.select(F.explode(F.array("subj", "obj")).alias("id")).distinct()
+    return nodes.join(ends(gone).join(ends(left), "id", "left_anti"), "id", "left_anti"), left
+
+
+def bulk_elements(elements: DataFrame, mentions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type) and edges (subj, rel, obj) of parsed elements (source, nodes, relations), each once; ``mentions`` adds an edge from each source to its nodes."""
+    nodes = elements.select("source", F.explode("nodes").alias("n")).select("source", F.col("n.id").alias("id"), F.col("n.type").alias("type"))
+    edges = elements.select(F.explode("relations").alias("r")).select("r.subj", F.col("r.type").alias("rel"), "r.obj")
+    if mentions:
+        edges = edges.unionByName(nodes.select(F.col("source").alias("subj"), F.lit("MENTIONS").alias("rel"), F.col("id").alias("obj")))
+    return nodes.select("id", "type").dropDuplicates(["id", "type"]), edges.distinct()
+
+
+def entity_frequency(edges: DataFrame) -> DataFrame:
+    """(id, degree, rank): edges at each node and its dense rank by them."""
+    from pyspark.sql import Window
+
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    levels = ends.select("degree").distinct().select("degree", F.dense_rank().over(Window.orderBy(F.desc("degree"))).cast("long").alias("rank"))  # distinct degrees only
+    return ends.join(levels, "degree").select("id", "degree", "rank")
+
+
+def to_node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, json) lines of a graph: one for each node and each edge, so that no row holds the whole graph."""
+    return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json")).unionByName(edges.select(F.lit("link").alias("kind"), F.to_json(F.struct("*")).alias("json")))
+
+
+def from_node_link(lines: DataFrame, node_schema_: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
+    pick = lambda kind, schema: lines.where(F.col("kind") == kind).select(F.from_json("json", schema).alias("x")).select("x.*")
+    return pick("node", node_schema_), pick("link", edge_schema)

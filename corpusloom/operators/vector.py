@@ -209,6 +209,29 @@ def semantic_duplicates(table: DataFrame, threshold: float) -> DataFrame:
     return best.select("id", (-F.col("m.neg")).alias("target_id"), F.col("m.similarity").alias("similarity"))
 
 
+def similar_pairs(table: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of cosine at least ``threshold``, by cells as in ``semantic_duplicates``."""
+    blocks = max(4, _blocks(table.count()))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = table.select("id", "vector", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "vector", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, m, of = rows["id"].to_numpy(), _unit(_matrix(rows["vector"])), rows["own"].to_numpy()
+        x, y = np.flatnonzero(of == rows["low"].iloc[0]), np.flatnonzero(of == rows["high"].iloc[0])
+        out: list[tuple] = []
+        for at in range(0, len(x) if len(y) else 0, 1024):
+            part = x[at : at + 1024]
+            sim = m[part] @ m[y].T
+            i, j = np.nonzero(sim >= threshold)
+            a, b = ids[part][i], ids[y][j]
+            keep = a < b if rows["low"].iloc[0] == rows["high"].iloc[0] else np.ones(len(a), dtype=bool)
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[i, j][keep]))
+        return pd.DataFrame({name: np.concatenate([o[k] for o in out]) if out else [] for k, name in enumerate(("a", "b", "similarity"))})
+
+    return dealt.groupBy("low", "high").applyInPandas(meet, "a long, b long, similarity double")
+
+
 def add(table: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
     """``rows`` appended; a vector of another length fails the job."""
     checked = rows.where(F.coalesce(F.assert_true(F.size("vector") == dim, F.lit(f"a vector is not of length {dim}")).isNull(), F.lit(True)))

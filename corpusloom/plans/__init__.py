@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import curation, filters, parse, relational, retrieve, search, talk  # noqa: F401
+    from corpusloom.plans import curation, filters, parse, relational, retrieve, search, sets, talk  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
