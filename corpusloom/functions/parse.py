@@ -173,6 +173,12 @@ def _fence(x: Column, i: Column) -> Column:
     return F.struct(F.when(code, "code").otherwise("text").alias("kind"), F.when(code, F.trim(F.substring_index(x, "\n", 1))).otherwise("").alias("lang"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
 
 
+def personas(text: Column) -> Column:
+    """array<struct<name, description>> of a numbered list of personas."""
+    pattern = F.lit(r"persona_name:\s*(.*?)\s*;\s*persona_description:\s*([^\n]*)")
+    return F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.struct(a.alias("name"), b.alias("description")))
+
+
 def api_call(text: Column) -> Column:
     """The first [Name(arguments)] of a text, or null."""
     return F.nullif(F.regexp_extract(text, r"\[(\w+)\((.*)\)\]", 0), F.lit(""))

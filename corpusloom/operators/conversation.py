@@ -88,3 +88,35 @@ def pop_last(messages: DataFrame, n: int) -> DataFrame:
     free = ~_protected(F.col("role"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.when(free, 0).otherwise(1), F.desc("turn")))
     return messages.withColumn("kept", ~free | (rank > n))
+
+
+def sharegpt_rows(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, from, value, call): assistant messages with exactly one tool call are function_call rows and name the tool."""
+    from corpusloom.functions.parse import hermes_calls
+
+    calls = hermes_calls(F.col("text"))
+    one = (F.col("role") == "assistant") & (F.size(calls) == 1)
+    call = F.when(one, F.get(calls, F.lit(0))["name"])
+    return messages.select("conv_id", "turn", F.when(one, "function_call").otherwise(sharegpt_role(F.col("role"))).alias("from"), F.col("text").alias("value"), call.alias("call"))
+
+
+def normalised(messages: DataFrame, system: str) -> DataFrame:
+    """(conv_id, turn, from, value); conversations without a system message get ``system`` as turn -1."""
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), sharegpt_role(F.col("role")).alias("from"), F.col("text").alias("value"))
+    bare = messages.groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has")).where("NOT has")
+    return rows.unionByName(bare.select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("from"), F.lit(system).alias("value")))
+
+
+def to_records(messages: DataFrame) -> DataFrame:
+    """(conv_id, record): each message as JSON."""
+    return messages.select("conv_id", F.to_json(F.struct("turn", "role", F.col("text").alias("content"))).alias("record"))
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    parsed = records.select("conv_id", F.from_json("record", "turn long, role string, content string").alias("r"))
+    return parsed.select("conv_id", "r.turn", "r.role", F.col("r.content").alias("text"))
+
+
+def history(recorded: DataFrame, memory: DataFrame) -> DataFrame:
+    """Recorded messages of the conversations that have any, those of memory for the others."""
+    return recorded.unionByName(memory.join(recorded.select("conv_id").distinct(), "conv_id", "left_anti"))

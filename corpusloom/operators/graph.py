@@ -133,3 +133,15 @@ def to_node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def from_node_link(lines: DataFrame, node_schema_: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
     pick = lambda kind, schema: lines.where(F.col("kind") == kind).select(F.from_json("json", schema).alias("x")).select("x.*")
     return pick("node", node_schema_), pick("link", edge_schema)
+
+
+def crawl(links: DataFrame, start: DataFrame, most_depth: int) -> DataFrame:
+    """(id, depth) of what directed links (src, dst) reach from the start (id), each at its least depth."""
+    scratch = Scratch(links.sparkSession)
+    seen = start.select("id", F.lit(0).alias("depth"))
+    frontier = seen
+    for depth in range(1, most_depth + 1):
+        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
+        frontier = scratch.keep(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(frontier)
+    return seen

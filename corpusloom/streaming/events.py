@@ -30,3 +30,18 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregated stream over all that is there and gives its last result; every batch replaces the whole table of the one before."""
+    spark = stream.sparkSession
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}")
