@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import Scratch
+
 
 def rmse(prediction: Column, truth: Column) -> Column:
     """Over pairs whose prediction is a number."""
@@ -14,12 +16,16 @@ def rmse(prediction: Column, truth: Column) -> Column:
 def auroc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """(auroc): rank statistic with middle ranks of ties; 0.5 without both classes.
 
-    Scores are grouped first, so the running count is over distinct scores.
+    Scores are grouped first and dealt to ranges; a range's running counts start from the sum of the ranges before it, so
+    no task orders all scores.
     """
     by = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(truth).isNotNull())
     by = by.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = by.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    ranges = Scratch(df.sparkSession).keep(by.repartitionByRange("s").withColumn("range", F.spark_partition_id()))
+    before = ranges.groupBy("range").agg(F.sum("n").alias("held"))
+    before = before.select("range", (F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")).alias("before"))  # one row for each range
+    w = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranges.join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.sum("n").over(w) - (F.col("n") - 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     pos, neg = F.col("pos"), F.col("neg")
     return total.select(F.coalesce(F.when((pos > 0) & (neg > 0), (F.col("r") - pos * (pos + 1) / 2) / (pos.cast("double") * neg)), F.lit(0.5)).alias("auroc"))
