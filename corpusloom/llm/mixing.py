@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import Scratch
+
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2
@@ -89,7 +91,7 @@ def mix_sources(
     The table of sources has one row per source and is planned in one task; all else is by shard.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"))
+    sized = Scratch(docs.sparkSession).keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order")))  # words are counted once
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
 
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
