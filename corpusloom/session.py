@@ -65,6 +65,10 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(freed, was)
+        if self.n == 1:  # what is left goes when the application ends
+            jvm = self.spark.sparkContext._jvm
+            root = jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
