@@ -194,3 +194,8 @@ def image_tokens(width: Column, height: Column) -> Column:
     w, h = w * fit, h * fit
     fit = F.least(F.lit(1.0), F.lit(768.0) / F.least(w, h))
     return (85 + 170 * F.ceil(h * fit / 512) * F.ceil(w * fit / 512)).cast("long")
+
+
+def finite_values(values: Column) -> Column:
+    """An array with nulls for NaN and infinities."""
+    return F.transform(values, lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))

@@ -145,3 +145,23 @@ def crawl(links: DataFrame, start: DataFrame, most_depth: int) -> DataFrame:
         frontier = scratch.keep(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def command_tree(trees: DataFrame, most_depth: int = 15) -> DataFrame:
+    """(prefix, depth, module) of nested <cmd name=".."> elements (xml), each prefix once, to ``most_depth``; the module is the first name.
+
+    Tags are read in order; a fold over them keeps the open names and collects every path.
+    """
+    tags = F.regexp_extract_all("xml", F.lit(r'<cmd name="[^"]*"\s*/?>|</cmd>'), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<array<string>>").alias("found"))
+
+    def read(state, tag):
+        name = F.regexp_extract(tag, r'name="([^"]*)"', 1)
+        path = F.concat(state["open"], F.array(name))
+        shut = F.when(F.size(state["open"]) > 1, F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)).otherwise(F.array().cast("array<string>"))
+        kept = F.when(F.startswith(tag, F.lit("</")), shut).when(F.endswith(tag, F.lit("/>")), state["open"]).otherwise(path)
+        found = F.when(F.startswith(tag, F.lit("</")), state["found"]).otherwise(F.concat(state["found"], F.array(path)))
+        return F.struct(kept.alias("open"), found.alias("found"))
+
+    paths = trees.select(F.explode(F.aggregate(tags, start, read)["found"]).alias("p")).where(F.size("p") <= most_depth)
+    return paths.select(F.array_join("p", " ").alias("prefix"), F.size("p").alias("depth"), F.get("p", F.lit(0)).alias("module")).distinct()

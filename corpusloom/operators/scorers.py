@@ -4,7 +4,7 @@ import ast
 import hashlib
 import math
 import re
-from base64 import b64decode
+from base64 import b64decode, b64encode
 from typing import Iterator, Tuple
 
 import pandas as pd
@@ -99,6 +99,11 @@ def first_extracted(text: Column, stages: list[list]) -> Column:
     return text
 
 
+def encrypted(text: str, password: str) -> str:
+    key = hashlib.sha256(password.encode()).digest()
+    return b64encode(bytes(c ^ key[i % len(key)] for i, c in enumerate(text.encode()))).decode()
+
+
 def _decrypt(cipher, password):
     raw = b64decode(cipher)
     key = hashlib.sha256(password.encode()).digest()

@@ -196,3 +196,38 @@ def zip_chats(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "chat", "roles", "place", "message"])
 
     return files.select("name", "raw").mapInPandas(run, "name string, chat string, roles string, place int, message string")
+
+
+def sheets(cells: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(name, sheet) of the sheets that hold cells, without those named in ``skip``."""
+    return cells.where(F.col("sheet").isNotNull() & ~F.lower("sheet").isin(*skip)).select("name", "sheet").distinct()
+
+
+def load_all(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parquet of all paths as one; the first that can't be read raises with its place."""
+    for at, path in enumerate(paths):
+        try:
+            spark.read.parquet(path)
+        except Exception as e:
+            raise ValueError(f"source {at} can't be read: {path}") from e
+    return spark.read.parquet(*paths)
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def newest_version(spark: SparkSession, path: str) -> str:
+    """The path of the last version by name."""
+    fs, target = _fs(spark, path)
+    return max(s.getPath().toString() for s in fs.listStatus(target) if s.isDirectory())
+
+
+def present(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """(name, present): whether a folder holds each of the required files."""
+    rows = []
+    for name in names:
+        fs, target = _fs(spark, f"{path}/{name}")
+        rows.append((name, bool(fs.exists(target))))
+    return spark.createDataFrame(rows, "name string, present boolean")
