@@ -51,7 +51,8 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.token_length_table(spark, table(spark, sf_dir, "documents"))
+    vocabulary = spark.conf.get("spark.corpusloom.vocabulary", tokencounts.VOCABULARY)  # the path is the session's to set
+    return tokencounts.token_length_table(spark, table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op10_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
