@@ -360,12 +360,11 @@ def n08(spark, d):
     return _t(spark, d, "lineitem").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-@register("n09_shortest_path", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'n' || (n_nationkey + 1) AS b, 1.0::DOUBLE AS w FROM nation WHERE n_nationkey < 24), b AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), p AS (SELECT 'n12' AS id, 0.0::DOUBLE AS cost, ['n12'] AS path UNION ALL SELECT b.b, p.cost + b.w, list_append(p.path, b.b) FROM p JOIN b ON b.a = p.id WHERE NOT list_contains(p.path, b.b)) SELECT id, cost, array_to_string(path, '>') AS path FROM p")
+@register("n09_shortest_path", "WITH s AS (SELECT n_regionkey AS r FROM nation WHERE n_name = 'NATION_3') SELECT n_name AS id, CASE WHEN n_name = 'NATION_3' THEN 0.0::DOUBLE ELSE 5.0::DOUBLE + n_nationkey END AS cost, CASE WHEN n_name = 'NATION_3' THEN n_name ELSE 'NATION_3>' || r_name || '>' || n_name END AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = (SELECT r FROM s) UNION ALL SELECT r_name, 4.0::DOUBLE, 'NATION_3>' || r_name FROM region WHERE r_regionkey = (SELECT r FROM s)")
 def n09(spark, d):
-    n = _t(spark, d, "nation").where("n_nationkey < 24")
-    name = lambda c: F.concat(lit("n"), c.cast("string"))
-    e = n.select(name(C("n_nationkey")).alias("src"), name(C("n_nationkey") + 1).alias("dst"), lit(1.0).alias("weight"))
-    return N.shortest_paths(e, "n12").select("id", "cost", F.array_join("path", ">").alias("path"))
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), C("n_regionkey") == C("r_regionkey"))
+    e = n.select(C("n_name").alias("src"), C("r_name").alias("dst"), (C("n_nationkey") + 1.0).alias("weight"))
+    return N.shortest_paths(e, "NATION_3").select("id", "cost", F.array_join("path", ">").alias("path"))
 
 
 @register("n12_delta_merge", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey > 60 THEN 60 + rn ELSE s_suppkey END AS hrid FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 5 = 0 OR s_suppkey > 60 ORDER BY s_suppkey) AS rn FROM supplier)")
