@@ -45,7 +45,7 @@ def pairs_across(members: DataFrame) -> DataFrame:
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across, again: Callable[[DataFrame, int], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
     """(id, component) of all items that some chain of links joins, smallest id first; unlinked items have no row.
 
     ``buckets`` (bucket, id): two items can only be linked if they share a bucket. ``check`` takes
@@ -53,7 +53,7 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
     of each of its buckets, which joins a group of copies without forming its pairs; then only pairs that share a bucket and lie in different components are left to check, so no link between
     components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
     that can't be links. Before it, ``again`` may give further pairs from the same rows, linear in the size of
-    each bucket, whose links join most of what is left.
+    each bucket, whose links join most of what is left; it is asked up to ``rounds`` times, while it finds links.
     """
     whole = Window.partitionBy("bucket")  # one shuffle gives both the size and the smallest
     placed = buckets.select("bucket", "id", F.min("id").over(whole).alias("pivot"), F.max("id").over(whole).alias("last"))
@@ -72,12 +72,13 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
         return scratch.keep(placed.where("id <> pivot").join(split, "bucket", "left_semi").select("bucket", "id", "component"))
 
     left = split_members()
-    if again is not None:
-        more = scratch.keep(check(again(left)))
-        if not more.isEmpty():
-            first = scratch.keep(joined(more))
-            scratch.drop(left)
-            left = split_members()
+    for turn in range(rounds if again is not None else 0):
+        more = scratch.keep(check(again(left, turn)))
+        if more.isEmpty():
+            break
+        before, first = first, scratch.keep(joined(more))
+        scratch.drop(left, more, before)
+        left = split_members()
     scratch.drop(shared)
     rest = across(left).distinct()
     more = scratch.keep(check(rest))

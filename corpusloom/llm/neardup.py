@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 def drop_near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """``docs``, all columns, with one document of each group: the one of the smallest doc_id; of rows
     that repeat a doc_id in a group of several rows, one. Rows without words or id stay."""
-    found = near_duplicates(docs, config).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.join(found, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text", F.lit(3)))
-    one = rows.dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    found = near_duplicates(docs.select("doc_id", "text"), config).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text", F.lit(3)).alias("text_hash"))
+    named = rows.where("own_id IS NOT NULL").join(found, F.col("own_id") == F.col("kept_id"), "left_semi").dropDuplicates(["own_id", "text_hash"])
+    out = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return named.select(*out).unionByName(rows.where("own_id IS NULL").select(*out))
