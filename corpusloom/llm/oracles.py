@@ -27,4 +27,27 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_odd_sketch_dedup": OP1, "op3_suffix_automaton": OP3}
+
+
+def _lloyd(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out one after the other; every distance is computed."""
+    parts = [
+        "kept AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM kept ORDER BY h, x LIMIT {k}))",
+    ]
+    nearest = "SELECT row, any_value(vec_id) AS vec_id, min(struct_pack(d := d, k := k)) AS m FROM (SELECT row, vec_id, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM n, c{at}) GROUP BY row"
+    parts.append("n AS (SELECT row_number() OVER () AS row, vec_id, x FROM kept)")
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest.format(at=r)})")
+        if r < rounds:
+            sums = f"SELECT m.k AS k, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM (SELECT m, unnest(x) AS v, unnest(range(1, 65)) AS i FROM a{r} JOIN n USING (row)) GROUP BY m.k, i"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k AS k, coalesce(s.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT k, list(v ORDER BY i) AS c FROM ({sums}) GROUP BY k) s ON s.k = c{r}.k)")
+    last = f"a{rounds}"
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON c{rounds}.k = m.k
+"""
+
+
+ORACLES: dict[str, str] = {"op1_odd_sketch_dedup": OP1, "op3_suffix_automaton": OP3, "op12_dual_tree_lloyd": _lloyd()}

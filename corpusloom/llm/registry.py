@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, decontaminate, langid, lines, mixing, neardup, quality, repeats, secrets, tokencounts
+from corpusloom.llm import audio, centroids, decontaminate, langid, lines, mixing, neardup, quality, repeats, secrets, spelling, tokencounts, toxicity
 from corpusloom.llm.arrow import held_out
 from corpusloom.llm.neardup import NearDupConfig
+from corpusloom.llm.spelling import SpellingConfig
 from corpusloom.session import table
 
 
@@ -59,8 +60,28 @@ def op10_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_deletion_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"), SpellingConfig(noise=31))
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings")).drop("centroid", "n_cluster")
+
+
+def op13_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "word")
+
+
+QUERIES = (
+    op1_odd_sketch_dedup, op2_audio_features, op3_suffix_automaton, op4_pairwise_quality, op5_script_viterbi, op6_sainte_lague, op7_fuzzy_lines,
+    op8_difference_cover, op9_length_histogram, op10_combined_automaton, op11_deletion_keys, op12_dual_tree_lloyd, op13_subsequence_svm,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_odd_sketch_dedup, op2_audio_features, op3_suffix_automaton, op4_pairwise_quality, op5_script_viterbi, op6_sainte_lague, op7_fuzzy_lines, op8_difference_cover, op9_length_histogram, op10_combined_automaton)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
