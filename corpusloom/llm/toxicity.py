@@ -24,14 +24,15 @@ from corpusloom.session import Scratch
 
 PER_CLASS = 3000  # labelled texts of each class that are learned from, chosen by a hash of the id
 OTHERS = 3  # further words of each clean text, by hash
-LANDMARKS = 256
+LANDMARKS = 512
 TURNS = 3
-DECAY = 0.7
+DECAY = 0.6
 SPREAD = 6  # symbols from the first to the last of a subsequence, at most
 BITS = 20  # of the table of weights
 WINDOW = 32  # letters; longer words are read in halfway overlapping windows of so many
 TOGETHER = 1 << 16  # characters of texts read at once
 LONGEST = 1 << 18  # characters of a piece of a text
+SURE = 25.0  # occurrences in toxic texts times the logarithm of the odds, above which a word or a part of one is no chance find
 SILENT = -30.0  # raw score of a text without letters
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _kinds: list[np.ndarray] = []
@@ -173,15 +174,20 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1
 
 
 def fit_words(words: list[str], y: np.ndarray, weight: np.ndarray, n_landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """(table of subsequence weights, bias) of the kernel machine on labelled words (y in -1, 1). Landmarks are words of either class, those of
-    the toxic one three quarters, taken at even strides of their order by spelling."""
+    """(table of subsequence weights, bias) of the kernel machine on labelled words (y in -1, 1). Landmarks are words of either class, half and half; those of
+    the toxic one are the heaviest, and others at even strides of their order by spelling."""
 
     def strided(of: list[str], n: int) -> list[str]:
         return [of[i] for i in sorted({int(k) for k in np.linspace(0, len(of) - 1, min(n, len(of)))})] if of else []
 
-    bad = sorted({w for w, label in zip(words, y, strict=True) if label > 0 and len(w) > 1})  # one letter has no subsequence of four symbols
-    good = sorted({w for w, label in zip(words, y, strict=True) if label < 0 and len(w) > 1} - set(bad))
-    landmarks = strided(bad, n_landmarks * 3 // 4) + strided(good, n_landmarks // 4)
+    total: dict[tuple[str, float], float] = {}
+    for word, label, own in zip(words, y, weight, strict=True):
+        total[word, float(label)] = total.get((word, float(label)), 0.0) + float(own)
+    words, y, weight = [w for w, _ in total], np.array([label for _, label in total]), np.array(list(total.values()))
+    heavy = {w: own for (w, label), own in total.items() if label > 0 and len(w) > 1}  # one letter has no subsequence of four symbols
+    good = sorted({w for w, label in zip(words, y, strict=True) if label < 0 and len(w) > 1} - set(heavy))
+    first = sorted(heavy, key=lambda w: (-heavy[w], w))[: n_landmarks // 4]
+    landmarks = first + strided(sorted(set(heavy) - set(first)), n_landmarks // 4) + strided(good, n_landmarks // 2)
     among = kernel(landmarks, landmarks)
     scale = 1 / np.sqrt(np.diag(among))
     values, vectors = np.linalg.eigh(among * scale * scale[:, None])
@@ -275,7 +281,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(label, text) of at most about ``per_class`` labelled texts of each class, and how many have each label."""
+    """(label, text) of at most about ``per_class`` labelled texts of each class, of near copies mostly one, and how many have each label."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
@@ -284,7 +290,11 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     spread = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.select(F.col("doc_id").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = texts.join(F.broadcast(usable.where(spread < share)), F.col("text_id") == F.col("doc_id"))
-    return both.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("label", "t.text"), counts
+    one = both.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("label", "t.text")
+    words = F.split(F.lower("text"), r"\s+")
+    marks = [F.array_min(F.transform(words, lambda w, i=i: F.xxhash64(F.lit(i), w))).alias(f"m{i}") for i in (1, 2)]
+    one = one.select("label", "text", *marks).groupBy("m1", "m2").agg(F.min(F.struct("label", F.xxhash64("text"), "text")).alias("t"))  # else the words of a group of copies seem telling
+    return one.select("t.label", "t.text"), counts
 
 
 def _telling(sample: DataFrame) -> np.ndarray:
@@ -304,14 +314,14 @@ def _telling(sample: DataFrame) -> np.ndarray:
     counts = sample.mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (texts.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (texts.get(0, 0) + 1))
     table = np.zeros(1 << BITS, dtype=np.float32)
-    for r in counts.where("toxic >= 5").select("h", odds.alias("odds")).where("odds > 0.7").collect():  # at most 2 ** BITS
-        table[r["h"]] = r["odds"] ** 2
+    for r in counts.where("toxic >= 5").select("h", "toxic", odds.alias("odds")).where((F.col("odds") > 1.5) & (F.col("toxic") * F.col("odds") > SURE)).collect():  # at most 2 ** BITS
+        table[r["h"]] = r["odds"]
     return table
 
 
 def _telling_words(sample: DataFrame) -> list[tuple[str, int]]:
-    """(word, number of toxic texts) of words of at most ``WINDOW`` letters that occur in 5 toxic texts or more, and 20 times as often in those as in
-    clean ones. Each of them stands for at least 5 texts of the sample, so they are few."""
+    """(word, number of toxic texts) of words of at most ``WINDOW`` letters that occur in 5 toxic texts or more, and so much more often in those than in
+    clean ones that it can't be chance. Each of them stands for at least 5 texts of the sample, so they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +335,8 @@ def _telling_words(sample: DataFrame) -> list[tuple[str, int]]:
 
     texts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = sample.mapInArrow(run, "word string, label int").groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    odds = (F.col("toxic") / max(1, texts.get(1, 0))) / ((F.col("clean") + 0.5) / max(1, texts.get(0, 0)))
-    return [(r["word"], r["toxic"]) for r in counts.where(F.col("toxic") >= 5).where(odds > 20).orderBy("word").collect()]
+    odds = F.log(F.col("toxic") / max(1, texts.get(1, 0))) - F.log((F.col("clean") + 0.5) / max(1, texts.get(0, 0)))
+    return [(r["word"], r["toxic"]) for r in counts.where(F.col("toxic") >= 5).where((odds > 2) & (F.col("toxic") * odds > SURE)).orderBy("word").collect()]
 
 
 def _witnesses(sample: DataFrame, table: np.ndarray, bias: float, most: int) -> list[tuple[int, float, str, list[str]]]:
