@@ -207,21 +207,6 @@ def test_line_dedup(spark):
     assert [(r.doc_id, r.dropped) for r in lines.duplicate_lines(pair).collect()] == [(2, [0])]  # one of 40 words differs
 
 
-def test_block_keys_lose_no_pair(spark):
-    rng = random.Random(2)
-    values = []
-    for i in range(200):
-        v = rng.getrandbits(64)
-        w = v
-        for _ in range(rng.randint(0, 3)):
-            w ^= 1 << rng.randrange(64)
-        values.append((i, *[x - (1 << 64) if x >> 63 else x for x in (v, w)]))
-    df = spark.createDataFrame(values, "i int, v long, w long")
-    for n in (10, 1 << 22, 1 << 30):
-        both = df.select(F.arrays_overlap(lines.block_keys(F.col("v"), 3, n), lines.block_keys(F.col("w"), 3, n)).alias("ok"))
-        assert both.where("NOT ok").count() == 0
-
-
 def test_word_level_edit_distance(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c", "d"])], "x array<string>, y array<string>")
     assert df.select(F.levenshtein(lines.coded(F.col("x")), lines.coded(F.col("y")))).first()[0] == 2
