@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.text import strip
+
 #: Command prefixes that a query may name, tried in this order.
 COMMAND_PATTERNS = (
     r"\b(slb\s+virtual\s+\w+)",
@@ -158,7 +160,7 @@ def graph_relations(text: Column) -> Column:
 
 def tasks(text: Column) -> Column:
     """The contents of all <task> elements, trimmed; an open one at the end isn't a task yet."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<task>(.*?)</task>"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<task>(.*?)</task>"), F.lit(1)), lambda x: strip(x))
 
 
 def fences(text: Column) -> Column:

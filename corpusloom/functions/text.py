@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BLOCKED = ("image", "data")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, line ends included; ``trim`` takes spaces only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words, none of them empty."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

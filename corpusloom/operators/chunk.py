@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.text import strip
+
 
 def elements(docs: DataFrame) -> DataFrame:
     """(id, i, kind, text): paragraphs as Title, ListItem or NarrativeText."""
-    parts = docs.select("id", F.posexplode(F.split("text", r"\n\s*\n|\n")).alias("i", "text")).withColumn("text", F.trim("text")).where("text <> ''")
+    parts = docs.select("id", F.posexplode(F.split("text", r"\n\s*\n|\n")).alias("i", "text")).withColumn("text", strip(F.col("text"))).where("text <> ''")
     kind = F.when(F.rlike("text", F.lit(r"^(?:[-*\x{2022}]|\d+[.)])\s+")), "ListItem").when((F.length("text") <= 60) & ~F.rlike("text", F.lit(r"[.,;:!?]$")), "Title").otherwise("NarrativeText")
     return parts.select("id", "i", kind.alias("kind"), "text")
 
@@ -104,11 +106,11 @@ def code_chunks(text: Column, tokens: int = 8192) -> Column:
 
 def labelled_instances(text: Column) -> Column:
     """array<struct<input, label>> of a classification answer: each "Class label:" line and the lines after it."""
-    parts = F.filter(F.split(text, r"(?m)^Class label:\s*"), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^Input:\s*", "")).alias("input"), F.trim(F.substring_index(p, "\n", 1)).alias("label")))
+    parts = F.filter(F.split(text, r"(?m)^Class label:\s*"), lambda p: strip(p) != "")
+    return F.transform(parts, lambda p: F.struct(strip(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^Input:\s*", "")).alias("input"), strip(F.substring_index(p, "\n", 1)).alias("label")))
 
 
 def generated_instances(text: Column) -> Column:
     """array<struct<input, output>> of a generation answer: each "Example" block with its "Output:" line."""
     parts = F.filter(F.split(text, r"(?m)^Example \d+\n?"), lambda p: F.contains(p, F.lit("Output:")))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(F.substring_index(p, "Output:", 1), r"\s+$", "")).alias("input"), F.trim(F.regexp_replace(F.substring_index(p, "Output:", -1), r"\s+$", "")).alias("output")))
+    return F.transform(parts, lambda p: F.struct(strip(F.substring_index(p, "Output:", 1)).alias("input"), strip(F.substring_index(p, "Output:", -1)).alias("output")))

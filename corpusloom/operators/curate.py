@@ -83,7 +83,7 @@ def sentence_triples(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    split = docs.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("at", "s")).select("doc_id", "at", F.trim("s").alias("s")).where("s <> ''")
+    split = docs.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("at", "s")).select("doc_id", "at", X.strip(F.col("s")).alias("s")).where("s <> ''")
     w = Window.partitionBy("doc_id").orderBy("at")
     found = split.select("doc_id", (F.row_number().over(w) - 1).alias("i"), F.col("s").alias("premise"), F.lead("s", 1).over(w).alias("middle"), F.lead("s", 2).over(w).alias("conclusion"))
     return found.where("conclusion IS NOT NULL AND length(premise) > 10 AND length(middle) > 10")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 
 def _micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
@@ -73,7 +75,7 @@ def new_tasks(pieces: DataFrame, key: str, order: str, piece: str) -> DataFrame:
     parts = whole.select(key, F.posexplode(F.split("_text", "</task>")).alias("_n", "_part"))
     w = Window.partitionBy(key).orderBy("_n")
     ended = parts.withColumns({"_end": F.sum(F.length("_part") + 7).over(w), "_last": F.lead("_n").over(w).isNull()}).where(~F.col("_last") & F.contains("_part", F.lit("<task>")))
-    content = F.trim(F.substring("_part", F.instr("_part", "<task>") + 6, F.length("_part")))
+    content = strip(F.substring("_part", F.instr("_part", "<task>") + 6, F.length("_part")))
     found = ended.select(key, "_end", F.lit(0).alias("_kind"), F.lit(None).cast(pieces.schema[order].dataType).alias(order), (F.row_number().over(w) - 1).alias("i"), content.alias("content"))
     ends = pieces.select(key, F.sum(F.length(piece)).over(Window.partitionBy(key).orderBy(order)).alias("_end"), F.lit(1).alias("_kind"), order, F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("content"))
     ahead = Window.partitionBy(key).orderBy("_end", "_kind", order).rowsBetween(Window.currentRow, Window.unboundedFollowing)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import parse as P
+from corpusloom.functions.text import strip
 from corpusloom.session import Scratch
 
 
@@ -57,7 +56,7 @@ def valid_points(rows: DataFrame, required: tuple[str, ...], strict: bool, least
     """Rows whose required texts aren't blank, and the others; ``strict`` fails the job at the first of those, fewer than ``least`` good rows raise."""
     fine = F.lit(True)
     for name in required:
-        fine = fine & F.coalesce(F.trim(name) != "", F.lit(False))
+        fine = fine & F.coalesce(strip(F.col(name)) != "", F.lit(False))
     if strict:
         return rows.where(F.assert_true(fine, F.lit("a required field is missing")).isNull()), rows.where(F.lit(False))
     good = rows.where(fine)
@@ -205,17 +204,25 @@ def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
 # trees and orders
 
 
-def heading_paths(heads: DataFrame, most: int = 9) -> DataFrame:
-    """(doc, pos, path): titles of the open headings (doc, pos, level, title) above and at each one, joined by " > "."""
+DEEPEST = 64  # levels of headings
+
+
+def heading_paths(heads: DataFrame) -> DataFrame:
+    """(doc, pos, path): titles of the open headings (doc, pos, level, title) above and at each one, joined by " > ".
+
+    There are as many levels as the table has, from 1; one above ``DEEPEST`` raises.
+    """
+    most = heads.agg(F.max("level")).first()[0] or 1
+    if most > DEEPEST:
+        raise ValueError(f"a heading of level {most}")
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(w) for k in range(1, most + 1)]
-    open_ = heads.select("doc", "pos", "level", *[c.alias(f"h{k}") for k, c in enumerate(last, 1)])
-    titles, after = [], F.lit(-1).cast("long")
+    open_ = heads.select("doc", "pos", "level", *[F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(w).alias(f"h{k}") for k in range(1, most + 1)])
+    titles, latest = [], F.lit(-1).cast("long")
     for k in range(1, most + 1):
         h = F.col(f"h{k}")
-        closed = [F.coalesce(F.col(f"h{j}.pos"), F.lit(-1)) for j in range(1, k)]
-        latest = F.greatest(F.lit(-1), F.lit(-1), *closed) if closed else after
-        titles.append(F.when((F.col("level") >= k) & h.isNotNull() & (h.pos > latest), h.title))
+        titles.append(F.when((F.col("level") >= k) & h.isNotNull() & (h.pos > F.col(f"c{k}")), h.title))
+        open_ = open_.withColumn(f"c{k}", latest)  # the last heading above level k
+        latest = F.greatest(F.col(f"c{k}"), F.coalesce(h.pos, F.lit(-1).cast("long")))
     return open_.select("doc", "pos", F.array_join(F.array_compact(F.array(*titles)), " > ").alias("path"))
 
 
@@ -278,18 +285,37 @@ def cyclic(dependencies: DataFrame) -> DataFrame:
     return left.select(F.col("task_id").alias("id")).distinct()
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place, from 1, of each row in its group, in a column ``name``. Rows are dealt to ranges of group and order, so that a hot
+    group is many tasks' work; a range numbers its own rows and adds the counts of the ranges before."""
+    dealt = Scratch(df.sparkSession).keep(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group).orderBy("_range")
+    before = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"))  # one row for each group and range
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    placed = dealt.withColumn("_own", own).join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_group", "_r", "_before")
+
+
 def running_offsets(df: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, order, number): rows numbered on from group to group; offsets are sums over groups, so rows are only ordered within theirs."""
+    """(group, order, number): rows numbered on from group to group; offsets are sums over groups."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(group, (F.sum("n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("offset"))  # one row for each group
-    return df.join(before, group).select(group, order, (F.col("offset") + F.row_number().over(Window.partitionBy(group).orderBy(order))).alias("number"))
+    placed = numbered(df.select(group, order), group, [order], "_place")
+    return placed.join(before, group).select(group, order, (F.col("offset") + F.col("_place")).alias("number"))
 
 
 def batches(df: DataFrame, group: str, order: str, size: int = 50) -> DataFrame:
     """(group, order, batch): rows of each group in order, ``size`` to a batch."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return df.select(group, order, F.floor(rn / size).cast("long").alias("batch"))
-
-
-def blocks_for(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
+    return numbered(df.select(group, order), group, [order], "_place").select(group, order, F.floor((F.col("_place") - 1) / size).cast("long").alias("batch"))
+
+
+def merged_pieces(docs: DataFrame) -> DataFrame:
+    """(id, source, place, text): the texts of each source in order of doc_id, each headed by its language, as the pieces of one document; sources
+    are numbered by their first doc_id (a null source is one of its own). A document is its pieces joined by empty lines; it is not built as one value, since it has no bound."""
+    lang = F.coalesce("lang", F.lit("unknown"))
+    pieces = numbered(docs.select("source", "doc_id", F.concat(F.lit("["), lang, F.lit("] "), F.coalesce("text", F.lit(""))).alias("text")), "source", ["doc_id", "text"], "place")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    number = F.row_number().over(Window.orderBy("first", F.col("source").asc_nulls_first())) - 1  # one row for each source
+    ids = first.select(F.col("source").alias("_source"), F.format_string("src_%04d", number).alias("id"))
+    return pieces.join(ids, F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "place", "text")

@@ -16,13 +16,13 @@ from corpusloom.session import table
     "g06_source2synth",
     r"""
 WITH base AS (
-  SELECT doc_id, trim(text) AS t FROM documents WHERE length(trim(text)) BETWEEN 50 AND 20000
+  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) BETWEEN 50 AND 20000
 ), gated AS (
   SELECT doc_id, t FROM base
   WHERE length(t) - length(replace(t, '.', '')) >= 2
     AND CAST(length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) AS DOUBLE) / length(t) <= CAST(0.3 AS DOUBLE)
 ), s AS (
-  SELECT doc_id, t, list_filter(list_transform(string_split(t, '.'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM gated
+  SELECT doc_id, t, list_filter(list_transform(string_split(t, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM gated
 ), q AS (
   SELECT doc_id, t, list_filter(list_transform(range(1, greatest(len(ss) - 1, 1)), lambda i: struct_pack(p := ss[i], m := ss[i + 1], c := ss[i + 2])),
     lambda z: length(z.p) > 10 AND length(z.m) > 10 AND length(z.c) >= 5) AS qa FROM s
@@ -34,12 +34,12 @@ SELECT doc_id, CAST(n_qa AS BIGINT) AS n_qa, CAST(length(t) AS BIGINT) AS n_text
 )
 def g06_source2synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and quality gates, sentence triples with rule-based questions, exact dedup."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.strip(F.col("text")).alias("t"))
     docs = docs.where(F.length("t").between(50, 20000))
     dots = F.length("t") - F.length(F.replace("t", F.lit("."), F.lit("")))
     special = F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s]", "")).cast("double") / F.length("t")
     docs = docs.where((dots >= 2) & (special <= 0.3))
-    docs = docs.withColumn("qa", _triples(F.filter(F.transform(F.split("t", r"\."), lambda x: F.trim(x)), lambda x: x != ""))).where(F.size("qa") > 0)
+    docs = docs.withColumn("qa", _triples(F.filter(F.transform(F.split("t", r"\."), lambda x: X.strip(x)), lambda x: x != ""))).where(F.size("qa") > 0)
     key = [F.xxhash64("t").alias("a"), F.xxhash64(F.lit(3), "t").alias("b")]  # not the text itself
     first = docs.groupBy(*key).agg(F.min(F.struct("doc_id", F.size("qa").cast("long").alias("n_qa"), F.length("t").cast("long").alias("n_text"))).alias("d"))
     return first.select("d.doc_id", "d.n_qa", "d.n_text")
@@ -56,10 +56,10 @@ def _triples(ss: Column, conclusion: int = 5) -> Column:
 @register(
     "g06_full",
     r"""
-WITH base AS (SELECT doc_id, trim(text) AS t FROM documents WHERE length(trim(text)) BETWEEN 50 AND 512),
+WITH base AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) BETWEEN 50 AND 512),
 gated AS (SELECT doc_id, t FROM base WHERE length(t) - length(replace(t, '.', '')) >= 2
   AND CAST(length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) AS DOUBLE) / length(t) <= CAST(0.3 AS DOUBLE)),
-s AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, '.'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM gated),
+s AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM gated),
 q AS (SELECT doc_id, t, list_transform(list_filter(list_transform(range(1, greatest(len(ss) - 1, 1)), lambda i: struct_pack(p := ss[i], m := ss[i + 1], c := ss[i + 2])),
     lambda z: length(z.p) > 10 AND length(z.m) > 10 AND length(z.c) >= 1), lambda z: struct_pack(question := 'What follows from "' || z.p || '" and "' || z.m || '"?', answer := z.c)) AS qa FROM s),
 k AS (SELECT doc_id, t, qa, list_sum(list_transform(qa, lambda x: 0.7::DOUBLE + 0.15::DOUBLE * least(len(list_filter(regexp_split_to_array(x.question, '\s+'), lambda w: w <> '')) / 20.0::DOUBLE, 1)
@@ -73,10 +73,10 @@ SELECT doc_id, CAST(len(qa) AS BIGINT) AS n_qa, round(complexity, 6) AS complexi
 def g06_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow: length and quality gates, sentence triples with rule-based questions, quality of questions and answers,
     complexity, exact dedup by text and questions, seeded sample."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.strip(F.col("text")).alias("t"))
     docs = docs.where(F.length("t").between(50, 512))
     docs = docs.where((X.count_of(F.col("t"), ".") >= 2) & (X.special_ratio(F.col("t")) <= 0.3))
-    triples = _triples(F.filter(F.transform(F.split("t", r"\."), lambda x: F.trim(x)), lambda x: x != ""), 1)
+    triples = _triples(F.filter(F.transform(F.split("t", r"\."), lambda x: X.strip(x)), lambda x: x != ""), 1)
     asked = F.transform(triples, lambda z: F.struct(F.concat(F.lit('What follows from "'), z.p, F.lit('" and "'), z.m, F.lit('"?')).alias("question"), z.c.alias("answer"), F.lit(3).alias("steps"), F.lit(3).alias("facts")))
     docs = docs.withColumn("qa", asked).where(F.size("qa") > 0)
     fine = F.forall("qa", lambda x: (F.length(x.question) >= 10) & (F.length(x.answer) >= 5) & (x.question != x.answer))

@@ -66,9 +66,9 @@ def p14(spark, d):
     return _docs(spark, d).where((X.count_of(t, ".") >= 2) & (X.special_ratio(t) <= 0.3)).select("doc_id")
 
 
-@register("p15_length_gate", "SELECT doc_id FROM documents WHERE length(trim(text)) BETWEEN 50 AND 512")
+@register("p15_length_gate", r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) BETWEEN 50 AND 512")
 def p15(spark, d):
-    return _docs(spark, d).where(F.length(F.trim("text")).between(50, 512)).select("doc_id")
+    return _docs(spark, d).where(F.length(X.strip(F.col("text"))).between(50, 512)).select("doc_id")
 
 
 @register("p22_alpaca_markers", "SELECT conv_id, turn FROM conversations WHERE NOT contains(text, '### Response') AND NOT contains(text, '### Instruction') AND NOT contains(text, '### Input')")
@@ -90,9 +90,9 @@ def p26(spark, d):
     return lines.where(F.contains(F.lower("line"), F.lit("licens"))).select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
-@register("s03_txt", r"SELECT doc_id, md5(text) AS file_id, trim(regexp_replace(text, '\s*\n\s*', chr(10), 'g')) AS content FROM documents")
+@register("s03_txt", r"SELECT doc_id, md5(text) AS file_id, regexp_replace(regexp_replace(text, '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS content FROM documents")
 def s03(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5("text").alias("file_id"), F.trim(X.collapse_newlines(F.col("text"))).alias("content"))
+    return _docs(spark, d).select("doc_id", F.md5("text").alias("file_id"), X.strip(X.collapse_newlines(F.col("text"))).alias("content"))
 
 
 @register("s08_newlines", r"SELECT page_id, regexp_replace(html, '\s*\n\s*', chr(10), 'g') AS html FROM pages")

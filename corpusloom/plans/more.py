@@ -35,7 +35,7 @@ def _named(spark, d):
     return _t(spark, d, "documents").select(name.alias("name"), body.cast("binary").alias("raw"))
 
 
-_FILES = r"SELECT doc_id || '.txt' AS name, trim(regexp_replace(text, '\s*\n\s*', chr(10), 'g')) AS page_content FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id || '.json', '{\"id\":' || doc_id || coalesce(',\"src\":\"' || source || '\"', '') || '}' FROM documents WHERE doc_id % 3 = 1".replace('\\"', '"')
+_FILES = r"SELECT doc_id || '.txt' AS name, regexp_replace(regexp_replace(text, '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS page_content FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id || '.json', '{\"id\":' || doc_id || coalesce(',\"src\":\"' || source || '\"', '') || '}' FROM documents WHERE doc_id % 3 = 1".replace('\\"', '"')
 
 
 @register("s01_file_reader", _FILES)
@@ -354,10 +354,13 @@ def n06(spark, d):
     return N.edge_patterns(nodes, _triples(spark, d))
 
 
-@register("n08_graph", "SELECT DISTINCT least(l_partkey % 50, l_suppkey % 50) AS a, greatest(l_partkey % 50, l_suppkey % 50) AS b FROM lineitem")
+@register("n08_graph", "WITH e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), u AS (SELECT a AS id, b AS other, n FROM e UNION ALL SELECT b, a, n FROM e) SELECT id, count(*) AS degree, CAST(sum(n) AS BIGINT) AS multi_degree, min(other) AS first FROM u GROUP BY id")
 def n08(spark, d):
-    a, b = C("l_partkey") % 50, C("l_suppkey") % 50
-    return _t(spark, d, "lineitem").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    """The undirected multigraph of parts and suppliers: neighbours, parallel edges and first neighbour of every node."""
+    ends = (F.concat(lit("p"), C("l_partkey").cast("string")), F.concat(lit("s"), C("l_suppkey").cast("string")))
+    e = _t(spark, d, "lineitem").groupBy(ends[0].alias("a"), ends[1].alias("b")).agg(F.count(lit(1)).alias("n"))
+    both = e.select(C("a").alias("id"), C("b").alias("other"), "n").unionByName(e.select(C("b").alias("id"), C("a").alias("other"), "n"))
+    return both.groupBy("id").agg(F.count(lit(1)).alias("degree"), F.sum("n").alias("multi_degree"), F.min("other").alias("first"))
 
 
 @register("n09_shortest_path", "WITH s AS (SELECT n_regionkey AS r FROM nation WHERE n_name = 'NATION_3') SELECT n_name AS id, CASE WHEN n_name = 'NATION_3' THEN 0.0::DOUBLE ELSE 5.0::DOUBLE + n_nationkey END AS cost, CASE WHEN n_name = 'NATION_3' THEN n_name ELSE 'NATION_3>' || r_name || '>' || n_name END AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = (SELECT r FROM s) UNION ALL SELECT r_name, 4.0::DOUBLE, 'NATION_3>' || r_name FROM region WHERE r_regionkey = (SELECT r FROM s)")

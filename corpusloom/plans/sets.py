@@ -221,7 +221,7 @@ def w04(spark, d):
     return kept.select("conv_id", "turn", "kept")
 
 
-_SENT = "list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '')"
+_SENT = r"list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
 @register("w06_lead_triples", f"WITH s AS (SELECT doc_id, {_SENT} AS a FROM documents), t AS (SELECT doc_id, unnest(range(1, greatest(len(a) - 1, 1))) AS i, a FROM s) SELECT doc_id, i - 1 AS i, md5(a[i] || '|' || a[i + 1] || '|' || a[i + 2]) AS triple FROM t WHERE length(a[i]) > 10 AND length(a[i + 1]) > 10")
@@ -232,10 +232,10 @@ def w06(spark, d):
     return found.select("doc_id", C("i").cast("long").alias("i"), F.md5(F.concat_ws("|", "premise", "middle", "conclusion")).alias("triple"))
 
 
-@register("w07_heading_paths", "WITH h AS (SELECT c_nationkey AS doc, c_custkey AS pos, 1 + CAST(c_acctbal AS BIGINT) % 3 AS level, c_name AS title FROM customer WHERE c_acctbal >= 0), a AS (SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level = 2 THEN pos END) OVER w AS p2, max(CASE WHEN level = 3 THEN pos END) OVER w AS p3 FROM h WINDOW w AS (PARTITION BY doc ORDER BY pos)) SELECT doc, pos, concat_ws(' > ', (SELECT c_name FROM customer WHERE c_custkey = p1), CASE WHEN level >= 2 AND p2 > coalesce(p1, -1) THEN (SELECT c_name FROM customer WHERE c_custkey = p2) END, CASE WHEN level >= 3 AND p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN (SELECT c_name FROM customer WHERE c_custkey = p3) END) AS path FROM a")
+@register("w07_heading_paths", "WITH h AS (SELECT c_nationkey AS doc, c_custkey AS pos, 1 + abs(CAST(c_acctbal AS BIGINT)) % 12 AS level, c_name AS title FROM customer) SELECT h.doc, h.pos, string_agg(a.title, ' > ' ORDER BY a.pos) AS path FROM h JOIN h a ON a.doc = h.doc AND a.pos <= h.pos WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc = h.doc AND b.pos > a.pos AND b.pos <= h.pos AND b.level <= a.level) GROUP BY h.doc, h.pos")
 def w07(spark, d):
-    c = _t(spark, d, "customer").where("c_acctbal >= 0")
-    return S.heading_paths(c.select(C("c_nationkey").alias("doc"), C("c_custkey").alias("pos"), (1 + F.round("c_acctbal").cast("long") % 3).alias("level"), C("c_name").alias("title")))
+    level = 1 + F.abs(F.rint("c_acctbal").cast("long")) % 12
+    return S.heading_paths(_t(spark, d, "customer").select(C("c_nationkey").alias("doc"), C("c_custkey").alias("pos"), level.alias("level"), C("c_name").alias("title")))
 
 
 @register("w09_offsets", "SELECT p_brand, p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS number FROM part")
@@ -362,12 +362,9 @@ def a19(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.round(100 * F.avg((C("event_type") == "error").cast("double")), 6).alias("error_rate"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@register("a21_merge_sources", "WITH s AS (SELECT source, count(*) AS blocks, min(doc_id) AS first, md5(string_agg('[' || lang || '] ' || text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND source <> 'web' GROUP BY source) SELECT printf('src_%04d', row_number() OVER (ORDER BY first) - 1) AS id, source, blocks, text_md5 FROM s")
+@register("a21_merge_sources", "WITH s AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS k FROM documents GROUP BY source) SELECT printf('src_%04d', k) AS id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS place, md5('[' || coalesce(lang, 'unknown') || '] ' || coalesce(text, '')) AS text_md5 FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source")
 def a21(spark, d):
-    docs = _t(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL AND source <> 'web'")
-    merged = docs.groupBy("source").agg(F.count(lit(1)).alias("blocks"), F.min("doc_id").alias("first"), F.array_sort(F.collect_list(F.struct("doc_id", F.concat(lit("["), C("lang"), lit("] "), C("text")).alias("t")))).alias("p"))
-    place = F.row_number().over(Window.orderBy("first")) - 1  # one row for each source
-    return merged.select(F.format_string("src_%04d", place).alias("id"), "source", "blocks", F.md5(F.array_join(F.transform("p", lambda x: x.t), "\n\n")).alias("text_md5"))
+    return S.merged_pieces(_t(spark, d, "documents")).select("id", "source", "place", F.md5("text").alias("text_md5"))
 
 
 @register("a23_distinct", "SELECT count(DISTINCT md5(text)) AS n FROM documents")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import collapse_newlines
+from corpusloom.functions.text import collapse_newlines, strip
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +18,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def text_documents(files: DataFrame) -> DataFrame:
     """(file_id, name, page_content) of txt, html and json files; other extensions are left to ``unsupported``."""
     body = F.decode("raw", "UTF-8")
-    plain = F.trim(collapse_newlines(body))
+    plain = strip(collapse_newlines(body))
     markup = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"(?s)<[^>]+>", "")
-    content = F.when(F.col("extension") == "txt", plain).when(F.col("extension").isin("html", "htm"), F.trim(collapse_newlines(markup))).when(F.col("extension") == "json", F.to_json(F.try_parse_json(body)))
+    content = F.when(F.col("extension") == "txt", plain).when(F.col("extension").isin("html", "htm"), strip(collapse_newlines(markup))).when(F.col("extension") == "json", F.to_json(F.try_parse_json(body)))
     return files.select("file_id", "name", content.alias("page_content")).where("page_content IS NOT NULL")
 
 
