@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ann
 from corpusloom.operators import lexical as L
 from corpusloom.operators import vector as V
 from corpusloom.plans import register
@@ -74,6 +75,20 @@ def v05(spark, d):
 IVF_LISTS, IVF_PROBES = 32, 24
 
 
+@register("v05_product_codes")
+def v05_product_codes(spark, d):
+    """The 10 most similar rows by product codes, ranked by vectors among a tenth of the rows; tests measure its recall."""
+    t, q = _vectors(spark, d)
+    return ann.QuantizedLists(t).topk(q, 10).select("qid", "id", "rank")
+
+
+@register("v06_neighbor_graph")
+def v06(spark, d):
+    """The 10 most similar rows by a beam over the neighbour graph; tests measure its recall and the rows it reads."""
+    t, q = _vectors(spark, d)
+    return ann.NeighborGraph(t).topk(q, 10)[0].select("qid", "id", "rank")
+
+
 @register("v07_add", "SELECT count(*) AS n FROM embeddings")
 def v07(spark, d):
     e = _vectors(spark, d)[0]
