@@ -62,11 +62,11 @@ N_SCRIPTS = len(SCRIPT_RANGES) + 1
 @lru_cache(maxsize=1)
 def _code_points() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: 0 for what is no part of a word, 1 for marks that go with letters, 2 for letters; and its script."""
-    kind = np.zeros(0x110000, dtype=np.int8)
+    kind = np.zeros(0x110000, dtype=np.int32)
     for c in range(0x32000):  # no letters above
         category = unicodedata.category(chr(c))
         kind[c] = 2 if category[0] == "L" else 1 if category[0] == "M" else 0
-    script = np.zeros(0x110000, dtype=np.int8)
+    script = np.zeros(0x110000, dtype=np.int32)
     for i, (_, ranges) in enumerate(SCRIPT_RANGES, 1):
         for first, last in ranges:
             script[first : last + 1] = i
@@ -145,14 +145,14 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
     total, k = int(lengths.sum()), scores[0].shape[1] if scores else 0
     if not total:
-        return [np.empty(0, dtype=np.int8) for _ in scores]
+        return [np.empty(0, dtype=np.int32) for _ in scores]
     flat = np.concatenate([scores[i] for i in order])
     begin = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
     shorter = -lengths[order]
     stay = np.zeros((total, k), dtype=bool)
-    jump = np.zeros(total, dtype=np.int8)
+    jump = np.zeros(total, dtype=np.int32)
     best = np.zeros((len(scores), k), dtype=np.float32)
-    labels = np.zeros(total, dtype=np.int8)
+    labels = np.zeros(total, dtype=np.int32)
     steps = int(lengths.max())
     for t in range(steps):
         live = int(np.searchsorted(shorter, -t, side="left"))
@@ -163,7 +163,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         hold = now >= cap[:, None]
         stay[at], jump[at] = hold, top
         best[:live] = np.where(hold, now, cap[:, None]) + flat[at]
-    state = np.zeros(len(scores), dtype=np.int8)
+    state = np.zeros(len(scores), dtype=np.int32)
     fresh = 0
     for t in range(steps - 1, -1, -1):
         live = int(np.searchsorted(shorter, -t, side="left"))
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = True) ->
         k = len(m.langs)
         span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
         for whole in batches:
-            for batch in pieces(whole, 24 << 20):
+            for batch in pieces(whole, (96 << 20) // max(4, k)):  # scores are a number for each word and language
                 scores, letters = [], []
                 for text in as_bytes(batch, "text"):
                     words = split_words(text if text and k else b"")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import re
 from collections.abc import Callable, Iterator
@@ -35,7 +36,7 @@ def _encoder(ranks_file: bytes) -> Callable[[str], int]:
     return count
 
 
-_ENCODERS: dict[int, Callable[[str], int]] = {}
+_ENCODERS: dict[str, Callable[[str], int]] = {}  # of a worker, by digest of the vocabulary; one is kept
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -48,10 +49,9 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to broadcast")
-    shared = docs.sparkSession.sparkContext.broadcast(data)
+    shared, key = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared)
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = _encoder(shared.value)
