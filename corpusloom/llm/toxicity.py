@@ -26,6 +26,7 @@ PER_CLASS = 3000  # labelled texts of each class that are learned from, chosen b
 OTHERS = 3  # further words of each clean text, by hash
 LANDMARKS = 512
 TURNS = 3
+STRETCHED = 6  # copies of each toxic word with a letter put in, that are learned too
 DECAY = 0.6
 SPREAD = 6  # symbols from the first to the last of a subsequence, at most
 BITS = 20  # of the table of weights
@@ -199,7 +200,7 @@ def fit_words(words: list[str], y: np.ndarray, weight: np.ndarray, n_landmarks:
     return table.astype(np.float32), bias
 
 
-def stretched(words: list[str], seed: int = 5) -> list[str]:
+def stretched(words: list[str], seed: int) -> list[str]:
     """Each word with a letter put in at a seeded place."""
     rng = np.random.default_rng(seed)
     out = []
@@ -393,11 +394,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, turns:
         good += [w for label, _, w, _ in seen if label == 0 and w]  # those that were mistaken in earlier turns stay
         if not bad or not good:
             return WordMachine(np.zeros(1 << BITS, dtype=np.float32), 0.0, 0.0, 0.0, share)
-        more = stretched(bad) + stretched(bad, 6)
+        more = [w for k in range(STRETCHED) for w in stretched(bad, k)]
         words = [*bad, *more, *good]
         y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
         times = np.array([n for _, n in telling] + [1] * (len(bad) - len(telling))) / 2
-        weight = np.concatenate([times, times / 2, times / 2, np.full(len(good), 2 * times.sum() / len(good))])
+        weight = np.concatenate([times, np.tile(1.5 * times / STRETCHED, STRETCHED), np.full(len(good), 2 * times.sum() / len(good))])
         table, bias = fit_words(words, y, weight)
         most = SPREAD
         seen = _witnesses(sample, table, bias, most)
