@@ -68,6 +68,66 @@ def shortest_paths(edges: DataFrame, source: str, most_rounds: int | None = None
             raise RuntimeError(f"paths still change after {rounds} rounds")
 
 
+def many_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, delta: float | None = None, most_rounds: int | None = None) -> DataFrame:
+    """(root, id, cost, hops, path): least-cost paths from each source (id) to all that it reaches along edges (src, dst, weight); of
+    equal costs the fewest hops, then at each node the predecessor that sorts first. Weights are summed in their own type.
+
+    Each round relaxes the edges of nodes that improved; with ``delta`` only those of the least open bucket of that width, so that few
+    costs are corrected twice. Rows carry costs alone; paths are put together at the end, by joins that double their length each time.
+    Edges without end or weight are left out, parallel ones count at their least weight. Negative weights need ``directed`` edges; a
+    negative cycle in reach of a source raises once more rounds than nodes have passed, or a source comes back to itself below nothing.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    e = edges.select("src", "dst", "weight").dropna()
+    if not directed:
+        e = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    e = scratch.keep(e.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    kind = e.schema["weight"].dataType
+    negative = not e.where("weight < 0").isEmpty()
+    if negative and not directed:
+        raise ValueError("a negative weight of an undirected edge is a negative cycle")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count() if negative else None
+    best = scratch.keep(sources.select(F.col("id").alias("root"), "id").dropna().distinct().select("root", "id", F.lit(0).cast(kind).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("open")))
+    rounds, limit = 0, delta
+    while True:
+        now_open = F.col("open") if delta is None or negative else F.col("open") & (F.col("cost") < limit)
+        front = best.where(now_open).alias("f")
+        step = front.join(e.alias("e"), F.col("f.id") == F.col("e.src")).select("root", F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).cast(kind).alias("cost"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("open"))
+        both = best.withColumn("open", F.col("open") & ~now_open).unionByName(step)
+        after = scratch.keep(both.groupBy("root", "id").agg(F.min(F.struct("cost", "hops", "open")).alias("m")).select("root", "id", "m.cost", "m.hops", "m.open"))
+        scratch.drop(best)
+        best, rounds = after, rounds + 1
+        left = best.agg(F.min(F.when(F.col("open"), F.col("cost"))).alias("least"), F.count_if((F.col("root") == F.col("id")) & (F.col("cost") < 0)).alias("below")).first()  # one row
+        if left.below or (negative and rounds > nodes and left.least is not None):
+            raise ValueError("a source reaches a negative cycle")
+        if left.least is None:
+            break
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"paths still change after {rounds} rounds")
+        limit = None if delta is None else (left.least // delta + 1) * delta
+
+    a, b = best.alias("a"), best.alias("b")
+    last = a.join(e.alias("e"), F.col("a.id") == F.col("e.src")).select("a.root", F.col("e.dst").alias("id"), F.col("e.src").alias("up"), (F.col("a.cost") + F.col("e.weight")).cast(kind).alias("cost"), (F.col("a.hops") + 1).alias("hops"))
+    up = last.join(b, ["root", "id", "cost", "hops"]).groupBy("root", "id").agg(F.min("up").alias("up"))
+    chain = scratch.keep(best.join(up, ["root", "id"], "left").select("root", "id", "cost", "hops", F.when(F.col("hops") > 0, F.col("up")).alias("up"), F.array("id").alias("path")))
+    while not chain.where("up IS NOT NULL").isEmpty():
+        head = chain.select("root", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_head"))
+        longer = chain.join(head, ["root", "up"], "left").select("root", "id", "cost", "hops", F.col("_up").alias("up"), F.when(F.col("_head").isNull(), F.col("path")).otherwise(F.concat("_head", "path")).alias("path"))
+        longer = scratch.keep(longer)
+        scratch.drop(chain)
+        chain = longer
+    scratch.drop(best, e)
+    return chain.select("root", "id", "cost", "hops", "path")
+
+
+def path_answers(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(root, target, cost, path) of each asked pair (root, target); where there is no path, null and one message in its place."""
+    found = paths.select("root", F.col("id").alias("target"), "cost", "path")
+    message = F.array(F.concat(F.lit("No path exists between '"), F.col("root"), F.lit("' and '"), F.col("target"), F.lit("'")))
+    return pairs.select("root", "target").join(found, ["root", "target"], "left").select("root", "target", "cost", F.coalesce("path", message).alias("path"))
+
+
 def delta_merge(base: DataFrame, delta: DataFrame, key: str, number: str) -> DataFrame:
     """Rows of ``delta`` replace those of the same key; they are numbered on from the largest ``number``, in order of the key.
 

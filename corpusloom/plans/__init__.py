@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import curation, filters, more, parse, relational, rest, retrieve, search, sets, streams, talk  # noqa: F401
+    from corpusloom.plans import curation, deep, filters, more, parse, relational, rest, retrieve, search, sets, streams, talk  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -324,3 +324,113 @@ def test_no_local_folder_on_a_cluster():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(fake)
+
+
+def test_pages_of_files(spark):
+    from corpusloom.sources import pages as K
+
+    texts = ["héllo\nwörld (x) \\", "", "日本語 😀\n\n\nend "]
+    plain, packed = K.write_pdf(texts), K.write_pdf(texts, packed=True)
+    simple = b"""%PDF-1.4
+1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj
+2 0 obj <</Type/Pages/Kids[3 0 R 2 0 R]/Count 1>> endobj
+3 0 obj <</Type/Page/Parent 2 0 R/Resources<</Font<</F 4 0 R>>/XObject<</X 6 0 R>>>>/Contents[5 0 R]>> endobj
+4 0 obj <</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>> endobj
+5 0 obj <</Length 999>> stream
+BT /F 9 Tf 10 10 Td (a\\(b\\)\\351) Tj 5 0 Td [(c) -300 (d) -20 (e)] TJ 0 -12 Td <66> Tj ET /X Do BI /W 1 ID \xff\x00 EI BT 0 30 Td (g) Tj ET
+endstream endobj
+6 0 obj <</Type/XObject/Subtype/Form/Length 29>> stream
+BT /F 9 Tf 0 40 Td (h) Tj ET
+endstream endobj
+trailer <</Root 1 0 R>>
+"""
+    no_table = packed[: packed.rfind(b"startxref")]
+    locked = plain.replace(b"/Root 1 0 R", b"/Encrypt 1 0 R/Root 1 0 R")
+    files = {"plain": plain, "packed": packed, "no_table": no_table, "simple": simple, "locked": locked, "cut": packed[:60], "text": b"no pages here", "none": None, "empty": b"", "zero": K.write_pdf([])}
+    rows = K.pdf_pages(spark.createDataFrame([(k, v) for k, v in files.items()], "name string, raw binary")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.name, r.page or 0)):
+        got.setdefault(r.name, []).append((r.page, r.page_content))
+        assert (r.error is None) == (r.page is not None)
+    want = [(1, "héllo\nwörld (x) \\"), (2, ""), (3, "日本語 😀\nend")]
+    assert got["plain"] == got["packed"] == got["no_table"] == want
+    assert got["simple"] == [(1, "a(b)é c de\nf\nh\ng")]
+    assert all(got[k] == [(None, None)] for k in ("locked", "cut", "text", "none", "empty")) and "zero" not in got
+    bomb = spark.createDataFrame([("b", K.write_pdf(["x" * 100000], packed=True))], "name string, raw binary")
+    assert "more than 1000 bytes" in K.pdf_pages(bomb, most_bytes=1000).first().error
+
+
+def _least(edges, root, directed):
+    """Costs, hops and paths by plain relaxation."""
+    both = [(a, b, w) for a, b, w in edges] + ([] if directed else [(b, a, w) for a, b, w in edges])
+    best = {root: (0, 0)}
+    for _ in range(len(both)):
+        for a, b, w in both:
+            if a in best and (best[a][0] + w, best[a][1] + 1) < best.get(b, (float("inf"), 0)):
+                best[b] = (best[a][0] + w, best[a][1] + 1)
+
+    def path(v):
+        if v == root:
+            return [v]
+        return path(min(a for a, b, w in both if b == v and a in best and (best[a][0] + w, best[a][1] + 1) == best[v])) + [v]
+
+    return {v: (*best[v], path(v)) for v in best}
+
+
+def test_many_paths(spark):
+    import random
+
+    from corpusloom.operators import graph as N
+
+    rng = random.Random(5)
+    chain = [(f"n{i:02}", f"n{i + 1:02}", 1) for i in range(25)]
+    edges = chain + [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}", rng.randrange(4, 9)) for _ in range(15)] + [("n00", "n00", 0), ("n00", "n01", 7), ("x", "y", 0)]
+    df = spark.createDataFrame(edges + [("n00", None, 1), ("n00", "z", None)], "src string, dst string, weight long")
+    roots = spark.createDataFrame([("n00",), ("n13",), ("x",), ("alone",), (None,), ("n00",)], "id string")
+    for directed, delta in ((False, None), (True, 3)):
+        rows = N.many_paths(df, roots, directed=directed, delta=delta).collect()
+        for root in ("n00", "n13", "x", "alone"):
+            assert {r.id: (r.cost, r.hops, r.path) for r in rows if r.root == root} == _least(edges, root, directed), (root, directed)
+        assert len({(r.root, r.id) for r in rows}) == len(rows)
+    below = [("a", "b", 4), ("a", "c", 2), ("c", "b", -3), ("b", "d", 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string, weight long")
+    start = spark.createDataFrame([("a",)], "id string")
+    paths = N.many_paths(frame(below), start, directed=True)
+    assert {r.id: (r.cost, r.hops, r.path) for r in paths.collect()} == _least(below, "a", True)
+    pairs = spark.createDataFrame([("a", "d"), ("a", "q")], "root string, target string")
+    assert {r.target: (r.cost, r.path) for r in N.path_answers(pairs, paths).collect()} == {"d": (0, ["a", "c", "b", "d"]), "q": (None, ["No path exists between 'a' and 'q'"])}
+    for bad, directed in (([*below, ("d", "c", 1)], True), (below, False), ([("a", "b", 1), ("b", "a", -2)], True)):
+        with pytest.raises(ValueError, match="negative"):
+            N.many_paths(frame(bad), start, directed=directed)
+
+
+def test_step_search(spark):
+    from corpusloom.operators import generate as G
+
+    rows = [(i, [("good" if j != i % 7 else "wrong") + str(j) for j in range(i)]) for i in range(14)]
+    df = spark.createDataFrame([(i, "q", ". ".join(s) + "。") for i, s in rows], "id int, question string, solution string")
+    calls = []
+
+    def verify(part):
+        calls.append(1)
+        return part.select("id", (~F.contains("solution", F.lit("wrong"))).alias("ok"))
+
+    got = {r.id: r.error_position for r in G.first_wrong_sentence(df, verify).collect()}
+    for i, s in rows:  # without a wrong sentence the search ends behind the last probe
+        bad = [j + 1 for j, t in enumerate(s) if t.startswith("wrong")]
+        assert got[i] == (bad[0] if bad else len(s)), i
+    assert len(calls) <= 4
+
+    answers = {0: "right.", 1: "a. right.", 2: "a. b. wrong.", 3: "a. wrong."}
+    text = lambda at: F.element_at(F.create_map(*[F.lit(x) for kv in answers.items() for x in kv]), at)
+    rounds = []
+
+    def answer(part):
+        rounds.append(1)
+        return part.select("id", F.when(F.col("round") > 3, F.concat("start", F.lit(" anew."))).when(F.col("round") == 0, F.when(F.col("id") == 0, text(F.lit(0))).otherwise("wrong.")).otherwise(text(F.col("id"))).alias("solution"))
+
+    score = lambda part: part.select("id", F.when(F.col("id") == 1, 0.95).when(F.col("id") == 2, 0.5).when(F.col("id") == 3, None).otherwise(0.0).alias("score"))
+    asked = spark.createDataFrame([(i, "q") for i in range(4)], "id int, question string")
+    out = {r.id: (r.solution, r.how, r.error_position, r.tries) for r in G.step_search(asked, answer, lambda p: p.select("id", ((F.col("solution") != "") & ~F.contains("solution", F.lit("wrong"))).alias("ok")), score, most_tries=3).collect()}
+    assert out == {0: ("right.", "direct", None, 0), 1: ("a. right.", "early", None, 1), 2: ("a. b. wrong.. anew.", "rewritten", 3, 3), 3: (". anew.", "rewritten", 0, 3)}
+    assert len(rounds) == 5
