@@ -69,37 +69,61 @@ def markdown_sections(text: Column, least: int = 50, most: int = 3000) -> Column
     return run(text)
 
 
-STRUCTURE = re.compile(r"^(?:def |class |async def |@|function |public |private |#{1,6} |func |impl |struct )")
-IMAGE = re.compile(r"!\[.*?\]\(.*?\)")
+# Lines that begin a definition, and lines that begin with an image.
+STRUCTURE = re.compile(r"^\s*(?:(def|class|function)\s+\w+|(public|private|protected)\s+[\w<>]+\s+\w+\s*\(|\b(interface|enum|namespace)\s+\w+|#\s*(region|endregion)\b)")
+IMAGE = re.compile(r"!\[.*?\]\((?:data:image/[^;]+;base64,[a-zA-Z0-9+/]+=*|[^)]+)\)")
+
+
+def _units(lines, tokens):
+    """(lines, cost, alone) of what is not taken apart: a line before the first definition, a definition with what follows it, or a piece of an oversized line."""
+    held, cost, opened = [], 0, False
+    for line in lines:
+        own = len(line) // 4 + 1
+        starts = bool(STRUCTURE.match(line))
+        if held and (starts or not opened or own > tokens):
+            yield held, cost, False
+            held, cost = [], 0
+        if own > tokens:
+            opened = False
+            for at in range(0, len(line), tokens * 4):
+                yield [line[at : at + tokens * 4]], tokens, True
+            continue
+        opened = opened or starts
+        held.append(line)
+        cost += own
+    if held:
+        yield held, cost, False
 
 
-def _code_chunks(text, tokens):
+def _code_chunks(text, tokens, images, early):
     out, now, used = [], [], 0
-    for line in (text or "").split("\n"):
-        if IMAGE.search(line):
-            continue
-        cost = len(line) // 4 + 1
-        if now and (used + cost > tokens or (STRUCTURE.match(line) and used >= tokens // 2)):
+    kept = (line for line in (text or "").split("\n") if images or not IMAGE.match(line))
+    for lines, cost, alone in _units(kept, tokens):
+        if now and (alone or used + cost > tokens or (used >= early * tokens and STRUCTURE.match(lines[0]))):
             out.append("\n".join(now))
             now, used = [], 0
-        while cost > tokens:
-            out.append(line[: tokens * 4 - 4])
-            line = line[tokens * 4 - 4 :]
-            cost = len(line) // 4 + 1
-        now.append(line)
-        used += cost
+        if alone:
+            out.append(lines[0])
+        else:
+            now += lines
+            used += cost
     if now:
         out.append("\n".join(now))
     return [x for x in out if x.strip()]
 
 
-def code_chunks(text: Column, tokens: int = 8192) -> Column:
-    """Lines in chunks of about ``tokens`` tokens (4 characters each), cut before definitions and headings once half full; lines of images are dropped."""
+def code_chunks(text: Column, tokens: int = 8192, images: bool = False, early: float = 1.0) -> Column:
+    """Chunks of about ``tokens`` tokens (4 characters each, and one a line) of a text's lines, in their order.
+
+    A definition, with all lines up to the next, stays whole: it joins the chunk where it fits, else it begins one, and if it is larger than ``tokens`` it is
+    one chunk of its own size. A single line above ``tokens`` is cut into pieces, each a chunk, and ends the definition around it. Lines that start with an
+    image are dropped unless ``images``. A definition also begins a chunk once the one before is filled to the share ``early``. Null and blank texts have no chunks.
+    """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for each in batches:
-            yield each.map(lambda t: _code_chunks(t, tokens))
+            yield each.map(lambda t: _code_chunks(t, tokens, images, early))
 
     return run(text)
 

@@ -196,7 +196,7 @@ def x15(spark, d):
 def x13(spark, d):
     block = lambda i: F.concat(lit(f"def f{i}():\n"), F.repeat(F.concat(lit("    "), C("p_name"), lit("\n")), 9), lit("    end"))
     text = F.concat_ws("\n", block(0), lit("![image](x.png)"), block(1), block(2))
-    return _t(spark, d, "part").select("p_partkey", F.posexplode(chunk.code_chunks(text, 64)).alias("chunk", "code"))
+    return _t(spark, d, "part").select("p_partkey", F.posexplode(chunk.code_chunks(text, 64, early=0.5)).alias("chunk", "code"))
 
 
 @register("x12_instances", "SELECT p_partkey, 'yes' AS label, p_name AS input FROM part UNION ALL SELECT p_partkey, 'no', p_type FROM part")

@@ -434,3 +434,21 @@ def test_step_search(spark):
     out = {r.id: (r.solution, r.how, r.error_position, r.tries) for r in G.step_search(asked, answer, lambda p: p.select("id", ((F.col("solution") != "") & ~F.contains("solution", F.lit("wrong"))).alias("ok")), score, most_tries=3).collect()}
     assert out == {0: ("right.", "direct", None, 0), 1: ("a. right.", "early", None, 1), 2: ("a. b. wrong.. anew.", "rewritten", 3, 3), 3: (". anew.", "rewritten", 0, 3)}
     assert len(rounds) == 5
+
+
+def test_code_chunks_keep_definitions_whole(spark):
+    run = lambda t, n, **k: one(spark, t, lambda c: chunk.code_chunks(c, n, **k))
+    define = lambda name, n: "\n".join([f"def {name}():"] + ["    x = 1"] * n)  # noqa: E731  3 or 4 tokens a line
+    a, b, big = define("a", 3), define("b", 2), define("big", 20)
+    assert run(f"import x\n{a}\n{b}", 100) == [f"import x\n{a}\n{b}"]
+    assert run(f"import x\n{a}\n{b}", 20) == [f"import x\n{a}", b]  # b does not fit beside a and is not cut
+    assert run(f"{a}\n{big}\n{b}", 20) == [a, big, b]  # larger than a chunk, but whole
+    assert run("l\n" * 5 + "l", 2) == ["l\nl"] * 3  # lines outside definitions are cut anywhere
+    assert run(f"{a}\n{'y' * 100}\n    x = 1\n{b}", 20) == [a, "y" * 80, "y" * 20, f"    x = 1\n{b}"]
+    text = "![i](a.png) gone\nkept ![i](a.png)\n  ![j](b.png)"
+    assert run(text, 100) == ["kept ![i](a.png)\n  ![j](b.png)"] and run(text, 100, images=True) == [text]
+    for line in ("class A:", "  function f(x) {", "public List<T> of(", "enum E {", "# region r", "#endregion"):
+        assert run(f"a\n{line}\nb\nc", 8)[0].startswith("a"), line
+        assert run(f"{'z' * 24}\n{line}\nb\nc", 8)[1].endswith("b\nc"), line
+    for line in ("defer x", "reclass A", "public x = f(", "@wraps"):
+        assert not chunk.STRUCTURE.match(line)
