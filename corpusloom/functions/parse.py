@@ -2,7 +2,7 @@
 
 import ast
 import json
-from typing import Iterator, Tuple
+from typing import Callable, Iterator, Tuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -321,6 +321,57 @@ def literal(text: Column, kind: str = "list") -> Column:
     return run(text)
 
 
+def _paired(left: list, right: list, near: Callable) -> bool:
+    """Whether the members of two lists of one length can be paired so that all pairs are near: a matching is grown by exchange of partners."""
+    partner: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        for j, y in enumerate(right):
+            if j not in tried and near(left[i], y):
+                tried.add(j)
+                if j not in partner or place(partner[j], tried):
+                    partner[j] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(left)))
+
+
+def _near(a, b, tolerance: float) -> bool:
+    near = lambda x, y: _near(x, y, tolerance)
+    kinds = {type(a), type(b)}
+    if kinds <= {int, float, bool}:
+        return abs(a - b) <= tolerance
+    if kinds == {dict}:
+        return a.keys() == b.keys() and all(near(v, b[k]) for k, v in a.items())
+    if kinds in ({list}, {tuple}, {set}) and len(a) == len(b):
+        return _paired(list(a), list(b), near) if kinds == {set} else all(map(near, a, b))
+    return a == b
+
+
+def _near_texts(a: str | None, b: str | None, tolerance: float) -> bool | None:
+    if a is None or b is None:
+        return None
+    try:
+        return bool(_near(ast.literal_eval(a.strip()), ast.literal_eval(b.strip()), tolerance))
+    except (SyntaxError, ValueError, TypeError, MemoryError, RecursionError, OverflowError):
+        return a.strip() == b.strip()
+
+
+def near_literals(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two Python literals are equal but for numbers, which may differ by ``tolerance`` at any depth.
+
+    Lists and tuples are compared in order, dictionaries by key, and sets if their members can be paired; a list is no tuple. Where either text is no
+    literal the trimmed texts have to be equal. Null if either is null.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_near_texts(x, y, tolerance) for x, y in zip(left, right, strict=True)], dtype=object)
+
+    return run(a, b)
+
+
 def _json_like(snippet: str):
     for read in (json.loads, ast.literal_eval):
         try:

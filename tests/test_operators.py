@@ -452,3 +452,17 @@ def test_code_chunks_keep_definitions_whole(spark):
         assert run(f"{'z' * 24}\n{line}\nb\nc", 8)[1].endswith("b\nc"), line
     for line in ("defer x", "reclass A", "public x = f(", "@wraps"):
         assert not chunk.STRUCTURE.match(line)
+
+
+def test_nested_values_within_tolerance(spark):
+    cases = [
+        ("0.123456", "0.123457", True), ("0.123456", "0.123467", False), ("1", "1.000001", True), ("True", "1.0", True),
+        ("[1.0, 2.0]", "[1.0, 2.000001]", True), ("[1.0, 2.0]", "[1.0, 2.1]", False), ("[1.0]", "[1.0, 2.0]", False), ("[1.0]", "(1.0,)", False),
+        ("(1.0, 2.0)", " (1.0, 2.000001) ", True), ("{'a': 1.0, 'b': 2.0}", "{'b': 2.0, 'a': 1.000001}", True), ("{'a': 1.0}", "{'b': 1.0}", False),
+        ("{1.0, 2.0}", "{2.000001, 1.0}", True), ("{1.0, 2.0}", "{1.0, 2.1}", False), ("{'a': [1.0, {2.0}]}", "{'a': [1.000001, {2.0}]}", True), ("{'a': [1.0]}", "{'a': [1.1]}", False),
+        ("{0.0, 0.000009}", "{0.000009, 0.000018}", True), ("{(0.0, 1), (0.000009, 2)}", "{(0.0, 2), (0.000009, 1)}", True), ("{'x', 1.0}", "{'x', 1.0}", True), ("'a'", "'a'", True), ("'a'", "'b'", False),
+        ("not a literal", "not a literal ", True), ("f(1)", "f(1.0)", False), ("", "", True), ("1e400", "1e400", False), ("10**400", "1.0", False), ("1" * 400, "1.5", False), (None, "1", None), ("1", None, None),
+    ]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: r.x for r in df.select("i", P.near_literals(F.col("a"), F.col("b"), 1e-5).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
