@@ -45,15 +45,16 @@ def pairs_across(members: DataFrame) -> DataFrame:
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across, again: Callable[[DataFrame, int], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
+def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] = pairs_across, again: Callable[[DataFrame, int], DataFrame] | None = None, rounds: int = 1, crowd: int = 64) -> DataFrame:
     """(id, component) of all items that some chain of links joins, smallest id first; unlinked items have no row.
 
     ``buckets`` (bucket, id): two items can only be linked if they share a bucket. ``check`` takes
     candidate pairs (a, b) and returns the linked ones. First every item is checked against the smallest
     of each of its buckets, which joins a group of copies without forming its pairs; then only pairs that share a bucket and lie in different components are left to check, so no link between
     components is lost. ``across`` finds them among (bucket, id, component) rows; it may leave out pairs
-    that can't be links. Before it, ``again`` may give further pairs from the same rows, linear in the size of
-    each bucket, whose links join most of what is left; it is asked up to ``rounds`` times, while it finds links.
+    that can't be links. Before it, ``again`` may give further pairs from the rows of buckets of more than ``crowd`` members, linear in the size of
+    each bucket, whose links join most of what is left; it is asked up to ``rounds`` times, while it finds a link for every hundred rows. Smaller buckets
+    have at most ``crowd`` pairs a member, which costs less than a round.
     """
     whole = Window.partitionBy("bucket")  # one shuffle gives both the size and the smallest
     placed = buckets.select("bucket", "id", F.min("id").over(whole).alias("pivot"), F.max("id").over(whole).alias("last"))
@@ -66,20 +67,30 @@ def link_components(buckets: DataFrame, check: Callable[[DataFrame], DataFrame],
         held = first.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
         return connected_components(held.unionAll(more.select("a", "b")), scratch)
 
-    def split_members() -> DataFrame:
-        placed = shared.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        return scratch.keep(placed.where("id <> pivot").join(split, "bucket", "left_semi").select("bucket", "id", "component"))
-
-    left = split_members()
-    for turn in range(rounds if again is not None else 0):
-        more = scratch.keep(check(again(left, turn)))
-        if more.isEmpty():
-            break
-        before, first = first, scratch.keep(joined(more))
-        scratch.drop(left, more, before)
-        left = split_members()
+    def split_members(members: DataFrame) -> DataFrame:
+        """The rows of buckets that lie in several components, the pivot's row included in that question alone."""
+        placed = members.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
+        return scratch.keep(placed.join(split, "bucket"))
+
+    def others(members: DataFrame) -> DataFrame:
+        return members.where("id <> pivot").select("bucket", "id", "component")
+
+    left = split_members(shared)
     scratch.drop(shared)
-    rest = across(left).distinct()
+    few = None
+    if again is not None:
+        few, left = left.where(F.col("size") <= crowd), scratch.keep(left.where(F.col("size") > crowd))
+        for turn in range(rounds):
+            more = scratch.keep(check(again(others(left), turn)))
+            links, rows = more.count(), left.count()
+            if not links:
+                break
+            before, first = first, scratch.keep(joined(more))
+            stale, left = left, split_members(left.select("bucket", "id", "pivot"))
+            scratch.drop(stale, more, before)
+            if 100 * links < rows:
+                break
+    rest = across(others(left if few is None else few.unionByName(left))).distinct()
     more = scratch.keep(check(rest))
     return first if more.isEmpty() else joined(more)
