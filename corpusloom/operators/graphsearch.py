@@ -18,39 +18,70 @@ def _turn(seed: int, *parts) -> F.Column:
     return F.crc32(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def _coded(names: DataFrame, seed: int) -> DataFrame:
+    """(name, code): a long for each name, in the order of its seeded hash, then the name; names of one hash are numbered."""
+    hashed = names.withColumn("hash", _turn(seed, F.col("name")))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("name")) - 1
+    return hashed.select("name", (F.shiftleft("hash", 31) + place).alias("code"))
+
+
 def communities(edges: DataFrame, levels: int = 2, most_rounds: int = 20, seed: int = 0) -> DataFrame:
     """(id, level, community) of every node of undirected edges (src, dst, weight in whole numbers); a community is named by its least node.
 
     Level 0 is label propagation: each round a half of the nodes, drawn by hash, takes the label of the greatest summed weight among its
     neighbours; a node keeps its own where that is among the greatest, and other ties go by a seeded hash of the label, then the label.
     It ends when no node would move, or after ``most_rounds``. Each further level does the same with the communities as nodes. Votes
-    are summed before the shuffle, so a hub's neighbours don't meet in one task.
+    are summed by node and label. They are kept from round to round: once under a quarter of the nodes move, only the links of those
+    that have moved are read into them. Nodes are longs inside, see ``_coded``.
     """
     scratch = Scratch(edges.sparkSession)
-    links = scratch.keep(_both(edges))
-    home = scratch.keep(links.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id")))  # node: where an id has come to
+    both = scratch.keep(_both(edges))
+    names = scratch.keep(_coded(both.select(F.col("src").alias("name")).distinct(), seed))
+    end = lambda side: names.select(F.col("name").alias(side), F.col("code").alias(f"_{side}"))
+    links = scratch.keep(both.join(end("src"), "src").join(end("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight"))
+    scratch.drop(both)
+    home = names.select("name", "code", F.col("code").alias("node"))  # node: where a name has come to
+    one = F.lit(1).cast("long")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        """(id, label, w, n) of links that give their weight to a label: those with n = 0 are gone."""
+        return rows.repartition("id").groupBy("id", "label").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0")
+
     out = None
     for level in range(levels):
-        labels = scratch.keep(home.select(F.col("node").alias("id")).distinct().withColumn("label", F.col("id")))
+        labels = scratch.keep(home.select(F.col("node").alias("code")).distinct().join(names, "code").select(F.col("code").alias("id"), "name", F.col("code").alias("label")))
+        nodes = labels.count()
+        votes, kept = links.select(F.col("dst").alias("id"), F.col("src").alias("label"), F.col("weight").alias("w"), one.alias("n")), None
         for at in range(most_rounds):
-            own = labels.select(F.col("id").alias("dst"), F.col("label").alias("own"))
-            votes = links.join(labels, F.col("src") == F.col("id")).groupBy("dst", "label").agg(F.sum("weight").alias("w")).join(own, "dst")
-            best = votes.groupBy("dst").agg(F.min(F.struct(-F.col("w"), F.col("label") != F.col("own"), _turn(seed, F.col("label")), "label"))["label"].alias("best"))
-            wish = scratch.keep(labels.join(best.withColumnRenamed("dst", "id"), "id", "left").withColumn("best", F.coalesce("best", "label")))
-            moves = _turn(seed, F.lit(level), F.lit(at), F.col("id")) % 2 == 0
-            settled = wish.where("best <> label").isEmpty()
+            ranked_votes = votes.join(labels.select("id", F.col("label").alias("own")), "id") if at else votes.withColumn("own", F.col("id"))
+            best = ranked_votes.groupBy("id").agg(F.min(F.struct(-F.col("w"), F.col("label") != F.col("own"), "label"))["label"].alias("best"))
+            moves = _turn(seed, F.lit(level), F.lit(at), F.col("name")) % 2 == 0
+            wish = labels.join(best, "id", "left").withColumn("best", F.coalesce("best", "label"))
+            wish = scratch.keep(wish.withColumn("next", F.when(moves, F.col("best")).otherwise(F.col("label"))))
+            left = wish.agg(F.count_if(F.col("best") != F.col("label")).alias("open"), F.count_if(F.col("next") != F.col("label")).alias("moved")).first()  # one row
             scratch.drop(labels)
-            labels = wish.select("id", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label"))
-            if settled:
+            labels = wish.select("id", "name", F.col("next").alias("label"))
+            if not left["open"] or at == most_rounds - 1:
                 break
-        names = scratch.keep(labels)
-        joined = home.join(names.withColumnRenamed("id", "node"), "node")
-        least = joined.groupBy("label").agg(F.min("id").alias("community"))
-        home = scratch.keep(joined.join(least, "label").select("id", F.col("community").alias("node")))
-        rows = home.select("id", F.lit(level).alias("level"), F.col("node").alias("community"))
+            if 4 * left["moved"] > nodes:
+                fresh = links.join(labels, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label", F.col("weight").alias("w"), one.alias("n"))
+            else:
+                moved = wish.where("next <> label").select(F.col("id").alias("src"), F.explode(F.array(F.struct(F.col("label").alias("label"), F.lit(-1).cast("long").alias("n")), F.struct(F.col("next").alias("label"), one.alias("n")))).alias("to"))
+                fresh = votes.unionByName(links.join(moved, "src").select(F.col("dst").alias("id"), "to.label", (F.col("weight") * F.col("to.n")).alias("w"), "to.n"))
+            votes = scratch.keep(summed(fresh))
+            if kept is not None:
+                scratch.drop(kept)
+            kept = votes
+        labels = scratch.keep(labels.select("id", "label"))
+        joined = home.join(labels.withColumnRenamed("id", "node"), "node")
+        least = joined.groupBy("label").agg(F.min(F.struct("name", "code")).alias("least")).select("label", F.col("least.name").alias("community"), F.col("least.code").alias("to"))
+        placed = scratch.keep(joined.join(least, "label").select("name", "code", F.col("to").alias("node"), "community"))
+        home = placed.select("name", "code", "node")
+        rows = placed.select(F.col("name").alias("id"), F.lit(level).alias("level"), "community")
         out = rows if out is None else out.unionByName(rows)
-        to = scratch.keep(names.join(least, "label").select("id", "community"))
-        links = scratch.keep(links.join(to.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(to.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        if level < levels - 1:
+            to = scratch.keep(labels.join(least, "label").select("id", "to"))
+            links = scratch.keep(links.join(to.select(F.col("id").alias("src"), F.col("to").alias("a")), "src").join(to.select(F.col("id").alias("dst"), F.col("to").alias("b")), "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return out
 
 
@@ -76,8 +107,10 @@ def community_reports(edges: DataFrame, members: DataFrame, most_named: int = 5)
 def local_search(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, members: DataFrame | None = None, reports: DataFrame | None = None, level: int = 0, top_k: int = 10) -> DataFrame:
     """(query_id, kind, id, score, place) around the entities (query_id, id) that a query names: entities and relationships by weight,
     sources by the weight of their mentions (unit, id, weight), and the reports of the seeds' communities by rating."""
-    seeds = seeds.select("query_id", "id").dropna().distinct()
-    near = seeds.join(_both(edges), F.col("id") == F.col("src"))
+    seeds = Scratch(edges.sparkSession).keep(seeds.select("query_id", "id").dropna().distinct())
+    asked = seeds.select("id").distinct()
+    near = seeds.join(_both(edges).join(asked.withColumnRenamed("id", "src"), "src", "left_semi"), F.col("id") == F.col("src"))  # before the sums, by Catalyst
+    mentions = mentions.join(asked, "id", "left_semi")
     others = near.groupBy("query_id", F.col("dst").alias("id")).agg(F.sum("weight").alias("score")).join(seeds, ["query_id", "id"], "left_anti")
     kind = lambda df, name: df.select("query_id", F.lit(name).alias("kind"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
     pair = F.concat(F.least("src", "dst"), F.lit("-"), F.greatest("src", "dst"))

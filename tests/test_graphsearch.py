@@ -84,3 +84,19 @@ def test_reports_and_searches(spark):
     drift = {(r.kind, r.id) for r in S.drift_search(queries, seeds, edges, mentions, members, reports, primer=1).collect()}
     assert ("source", "3") in drift and ("report", "x") in drift and ("entity", "b") in drift and ("entity", "x") not in drift
     assert S.communities(spark.createDataFrame([], EDGE), levels=1).count() == 0
+
+
+def test_few_moves_read_few_links(spark):
+    """A chain of triangles settles slowly, so that votes are kept and changed as well as made anew; a weight of nothing and parallel edges count as before."""
+    rng = random.Random(5)
+    edges = [(f"n{i:03}", f"n{i + k:03}", rng.randrange(0, 3)) for i in range(150) for k in (1, 2)] + [("n000", "n149", 0)]
+    got = {(r.id, r.level, r.community) for r in S.communities(spark.createDataFrame(edges, EDGE), levels=2, seed=4).collect()}
+    assert got == _plain(edges, 2, seed=4)
+
+
+def test_asked_edges_are_cut_down_before_they_are_summed(spark, capsys):
+    edges = spark.createDataFrame([("a", "b", 3)], EDGE)
+    mentions = spark.createDataFrame([(1, "a", 2)], "unit long, id string, weight long")
+    S.local_search(spark.createDataFrame([("q", "a")], "query_id string, id string"), edges, mentions).explain("extended")
+    plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert plan.count("LeftSemi") >= 3
