@@ -11,12 +11,17 @@ def terms(text: Column) -> Column:
     return F.split(text, " ")
 
 
+CELL = 8192  # documents
+PAIRS = 250_000  # documents times queries for each task
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(qid, id, score) of every document that shares a term with a query (qid, text).
 
     Okapi weights; negative inverse document frequencies become ``epsilon`` times their average.
     Document frequencies are counted over distinct terms of a document, combined before their shuffle; postings are
-    cut down to query terms before they are grouped. Corpus statistics are one row.
+    cut down to query terms before they are grouped. Corpus statistics are one row. Postings meet the queries of their term in cells of
+    some ``CELL`` documents, as many tasks as that takes, so that a frequent term's pairs are dealt to many.
     """
     asked = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     split = docs.select("id", terms(F.col("text")).alias("t"))
@@ -30,7 +35,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     lists = lists.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     tf = F.col("tf")
     weight = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return asked.join(idf, "term").join(lists, "term").groupBy("qid", "id").agg(F.sum(weight).alias("score"))
+    n, m = docs.count(), queries.count()
+    cells = -(-n // CELL) or 1
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-n * m // PAIRS), 20_000))
+    weights = asked.join(idf, "term").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    lists = lists.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")).repartition(tasks, "term", "cell")  # a number of its own, so that tasks aren't joined again for their few bytes
+    pairs = weights.join(lists, ["term", "cell"]).select("qid", "id", weight.alias("w"))
+    return pairs.repartition(tasks, "qid", "id").groupBy("qid", "id").agg(F.sum("w").alias("score"))  # terms of a pair lie apart, so sums before the shuffle would only hold memory
 
 
 def ranked(scores: DataFrame, k: int, by: str = "score") -> DataFrame:

@@ -466,3 +466,16 @@ def test_nested_values_within_tolerance(spark):
     df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string")
     got = {r.i: r.x for r in df.select("i", P.near_literals(F.col("a"), F.col("b"), 1e-5).alias("x")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_bm25_deals_a_frequent_term_to_many_tasks(spark, monkeypatch):
+    from corpusloom.operators import lexical
+
+    docs = spark.createDataFrame([(i, "the " * (i % 4) + f"w{i % 5} the") for i in range(20)], "id long, text string")
+    queries = spark.createDataFrame([(1, "the w1"), (2, "w2 w2 the"), (3, "none")], "qid long, text string")
+    rows = lambda: sorted((r.qid, r.id, round(r.score, 9)) for r in lexical.bm25(docs, queries).collect())
+    want = rows()
+    monkeypatch.setattr(lexical, "CELL", 3)
+    monkeypatch.setattr(lexical, "PAIRS", 5)
+    assert len(want) == 40 and rows() == want
+    assert lexical.bm25(docs, queries).rdd.getNumPartitions() == 12
