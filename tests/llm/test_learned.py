@@ -1,6 +1,7 @@
 """Ranking, language scores and token lengths against plain forms; many languages, vocabularies and repeated ids."""
 
 import base64
+import zlib
 
 import numpy as np
 import regex
@@ -32,6 +33,30 @@ def test_ranking_minimises_the_pairwise_loss():
     assert np.abs(model.weights - w).max() < 1e-2
 
 
+def test_ranking_learns_from_every_labelled_document(spark):
+    """More documents of a class than the former sample of 3,000: the loss over all pairs has no slope, and the cut is the quantile of all scores."""
+    rng = np.random.default_rng(11)
+    n = 9000
+    label = (rng.random(n) < 0.45).astype(int)
+    words = np.where(rng.random((n, 12)) < 0.35 + 0.3 * label[:, None], rng.integers(0, 40, (n, 12)), rng.integers(40, 80, (n, 12)))
+    texts = [" ".join(f"w{w}" for w in row) for row in words]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(label)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    used = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in range(n)])
+    x, k = np.array([quality.features(t.encode()) for t in texts])[used], label[used]
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-3) and np.allclose(model.std, x.std(axis=0) + 0.01, atol=1e-3)
+    z, raw = np.clip((x - model.mean) / model.std, -6, 6), model.raw(x)
+    lost = 1 / (1 + np.exp(raw[k == 1][:, None] - raw[k == 0][None, :]))
+    slope = 0.1 * model.weights - (lost.mean(axis=1) @ z[k == 1]) / (k == 1).sum() + (lost.mean(axis=0) @ z[k == 0]) / (k == 0).sum()
+    assert np.abs(slope).max() < 3e-3
+    order = np.sort(raw)
+    assert abs(model.cut - order[(k == 0).sum() - 1 : (k == 0).sum() + 1].mean()) < 1e-9
+    assert abs(model.scale * np.median(np.abs(raw - model.cut)) - 2) < 1e-9
+    again = quality.learn(docs.repartition(7), labels)
+    assert np.array_equal(again.weights, model.weights) and again.cut == model.cut
+
+
 def test_repeated_ids_are_learned_from_once(spark):
     docs = spark.createDataFrame([(1, "good words here")] * 50 + [(3, "bad bad bad")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
