@@ -57,7 +57,7 @@ _W = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambd
 
 def _hits(spark, d):
     docs, queries = _text(spark, d)
-    found = L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 20).drop("rank")
+    found = L.bm25_top(docs, queries, 20).drop("rank")
     return found.join(docs, "id"), queries
 
 

@@ -178,7 +178,7 @@ _TOP = "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score
 @register("r03_bm25", _BM25 + "SELECT qid, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) <= 50")
 def r03(spark, d):
     docs, queries = _text(spark, d)
-    return L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 50).select("qid", "id", "score")
+    return L.bm25_top(docs, queries, 50).select("qid", "id", "score")
 
 
 _EMB = _EMB_OF
@@ -195,7 +195,7 @@ def _near(docs, queries, k=50):
 def r04(spark, d):
     docs, queries = _text(spark, d)
     texts = docs.withColumn("text_md5", F.md5("text"))
-    lexical = L.ranked(L.bm25(docs, queries).withColumn("score", F.round("score", 6)), 50).join(texts, "id").select("qid", F.col("text_md5").alias("text"), "rank")
+    lexical = L.bm25_top(docs, queries, 50).join(texts, "id").select("qid", F.col("text_md5").alias("text"), "rank")
     near = _near(docs, queries).join(texts, "id").select("qid", F.col("text_md5").alias("text"), "rank")
     fused = L.fused_by_text(near, lexical, k=10**6).select("qid", F.col("text").alias("id"), F.round("rrf", 9).alias("rrf"))
     return L.ranked(fused, 20, "rrf").select("qid", F.col("id").alias("text_md5"), "rrf")

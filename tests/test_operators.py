@@ -479,3 +479,18 @@ def test_bm25_deals_a_frequent_term_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "PAIRS", 5)
     assert len(want) == 40 and rows() == want
     assert lexical.bm25(docs, queries).rdd.getNumPartitions() == 12
+
+
+def test_bm25_best_of_cells_are_the_best_of_all(spark, monkeypatch):
+    """Lots, blocks and slices of a few rows, ties and repeated ids included; neither postings nor pairs leave their task."""
+    from corpusloom.operators import lexical
+
+    docs = spark.createDataFrame([(i % 55, "the " * (i % 4) + f"w{i % 5} the  w{i % 7}") for i in range(60)] + [(90, None), (91, "")], "id long, text string")
+    queries = spark.createDataFrame([(i, f"the w{i % 5} w{i % 3}") for i in range(9)] + [(20, "none"), (21, "")], "qid long, text string")
+    want = lexical.ranked(lexical.bm25(docs, queries).withColumn("score", F.round("score", 6)), 6)
+    for name, size in (("LOT", 16), ("BLOCK", 4), ("SLICE", 5)):
+        monkeypatch.setattr(lexical, name, size)
+    found = lexical.bm25_top(docs, queries, 6)
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    assert len(rows(want)) == 60 and rows(found) == rows(want)
+    assert found.columns == ["qid", "id", "score", "rank"]
