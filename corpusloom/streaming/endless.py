@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 BLOCK = 100
+SPAN = 64  # blocks of a task, so that tasks, and what each tells the driver, are few
 
 
 class _Rows(InputPartition):
@@ -45,7 +46,7 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = max(self.at, end["row"])  # after a restart
-        return [_Rows(low, min(low + BLOCK, end["row"])) for low in range(start["row"], end["row"], BLOCK)]
+        return [_Rows(low, min(low + SPAN * BLOCK, end["row"])) for low in range(start["row"], end["row"], SPAN * BLOCK)]
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
         for row in range(partition.start, partition.end):
@@ -84,11 +85,11 @@ def drawn(stream: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
 
 def flush_blocks(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes each micro-batch as JSON lines, a file for each block of 100 rows in order; a repeated batch replaces its own folder, so
-    each row is written once."""
+    each row is written once. A task writes whole blocks, some ``SPAN`` of them."""
 
     def write(batch: DataFrame, number: int) -> None:
         blocks = batch.select("block").distinct().count()
-        dealt = batch.repartitionByRange(max(1, blocks), "block").sortWithinPartitions("block", "row")
+        dealt = batch.repartitionByRange(max(1, -(-blocks // SPAN)), "block").sortWithinPartitions("block", "row")
         dealt.write.mode("overwrite").option("maxRecordsPerFile", BLOCK).json(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()

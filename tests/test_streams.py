@@ -102,3 +102,18 @@ def test_endless_source_across_a_restart(spark, tmp_path):
     assert [r["p_partkey"] for r in rows[: len(keys)]] == keys
     assert all(r["p_partkey"] == keys[r["draw"] % len(keys)] for r in rows[len(keys) :])
     assert len({f.split("batch=")[1].split("/")[0] for f in files}) > 3
+
+
+def test_a_task_reads_and_writes_many_blocks(spark, tmp_path):
+    """13,000 rows in one batch are 130 files of a block each, but three tasks, and as many spans of the source."""
+    assert len(endless._Reader({"total": 13_000}).partitions({"row": 0}, {"row": 13_000})) == 3
+    seeds = table(spark, f"{DATA}/sf0.001", "part").select("p_partkey", "p_name")
+    stream = endless.drawn(endless.endless(spark, refill=250, rowsPerTrigger=13_000, total=13_000), seeds, "p_partkey")
+    query = endless.flush_blocks(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    files = glob.glob(f"{tmp_path}/out/batch=*/*.json")
+    read = [[json.loads(line) for line in open(f)] for f in files]
+    assert len(files) == 130 and all(len(f) == 100 and len({r["block"] for r in f}) == 1 for f in read)
+    assert sorted(r["row"] for f in read for r in f) == list(range(13_000))
+    assert len({f.split("/part-")[1].split("-")[0] for f in files}) <= 3
