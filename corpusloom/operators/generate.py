@@ -58,7 +58,7 @@ def first_error(steps: DataFrame) -> DataFrame:
     return steps.groupBy("id").agg(F.min(F.when(~F.col("ok"), F.col("place"))).alias("first_bad"))
 
 
-def step_search(questions: DataFrame, answer: Model, verify: Model, score: Model, most_tries: int = 100, enough: float = 0.9) -> DataFrame:
+def step_search(questions: DataFrame, answer: Model, verify: Model, score: Model, most_tries: int = 100, enough: float = 0.9, in_place: bool = False) -> DataFrame:
     """(id, solution, how, error_position, tries) of each question (id, question).
 
     A direct answer that holds is taken. Else up to ``most_tries`` answers, each begun from the best so far, are scored until one
@@ -67,53 +67,69 @@ def step_search(questions: DataFrame, answer: Model, verify: Model, score: Model
     ``answer`` turns (id, question, start, round) into (id, solution); ``verify`` (id, question, solution) into (id, ok); ``score``
     the same into (id, score), null where it failed, which counts as a try only. Sentences end with a full stop of either width.
     ``how`` is direct, early, whole (the best holds after all) or rewritten; ``error_position`` is null but for the last.
+    ``in_place`` says that the models keep every row and column they are given, more than those named too, and add their own: then nothing is joined, and a round is
+    written once.
     """
     scratch = Scratch(questions.sparkSession)
-    asked = lambda df, start, at: df.select("id", "question", start.alias("start"), F.lit(at).alias("round"))
-    base = scratch.keep(questions.select("id", "question"))
-    first = scratch.keep(base.join(answer(asked(base, F.lit(""), 0)).select("id", "solution"), "id"))
-    first = scratch.keep(first.join(verify(first).select("id", "ok"), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False))))
+    settle = scratch.keep if in_place else lambda df: df
     ended = lambda df, how, at, tries: df.select("id", "solution", F.lit(how).alias("how"), at.cast("int").alias("error_position"), tries.cast("int").alias("tries"))
     none = F.lit(None)
+    asked = lambda df, start, at: df.withColumns({"start": start, "round": F.lit(at)})
+    base = questions.select("id", "question")
+    first = _told(asked(base if in_place else scratch.keep(base), F.lit(""), 0), answer, "solution", scratch, in_place, "inner")
+    first = settle(_told(first, verify, "ok", scratch, in_place).select("id", "question", "solution", F.coalesce("ok", F.lit(False)).alias("ok")))
     done = ended(first.where("ok"), "direct", none, F.lit(0))
-    now = scratch.keep(first.where(~F.col("ok")).select("id", "question", F.lit("").alias("best"), F.lit(0.0).alias("top")))
+    now = first.where(~F.col("ok")).select("id", "question", F.lit("").alias("best"), F.lit(0.0).alias("top"))
     for at in range(1, most_tries + 1):
         if now.isEmpty():
             break
-        tried = scratch.keep(now.join(answer(asked(now, F.col("best"), at)).select("id", "solution"), "id", "left"))
-        tried = scratch.keep(tried.join(score(tried.select("id", "question", "solution")).select("id", "score"), "id", "left"))
+        tried = _told(_told(asked(now, F.col("best"), at), answer, "solution", scratch, in_place), score, "score", scratch, in_place)
         good = F.coalesce(F.col("score") > enough, F.lit(False))
-        done = done.unionByName(ended(tried.where(good), "early", none, F.lit(at)))
         better = F.coalesce(F.col("score") > F.col("top"), F.lit(False))
-        after = scratch.keep(tried.where(~good).select("id", "question", F.when(better, F.col("solution")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("score")).otherwise(F.col("top")).alias("top")))
-        scratch.drop(now)
-        now = after
+        best = F.when(good | better, F.col("solution")).otherwise(F.col("best"))
+        tried = settle(tried.select("id", "question", best.alias("best"), F.when(better, F.col("score")).otherwise(F.col("top")).alias("top"), good.alias("good")))
+        done = done.unionByName(ended(tried.where("good").withColumnRenamed("best", "solution"), "early", none, F.lit(at)))
+        now = tried.where(~F.col("good")).drop("good")
     tries = F.lit(most_tries)
-    held = scratch.keep(now.join(verify(now.select("id", "question", F.col("best").alias("solution"))).select("id", "ok"), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False))))
-    done = done.unionByName(ended(held.where("ok").withColumnRenamed("best", "solution"), "whole", none, tries))
-    wrong = scratch.keep(first_wrong_sentence(held.where(~F.col("ok")).select("id", "question", F.col("best").alias("solution")), verify, scratch))
+    held = _told(now.select("id", "question", F.col("best").alias("solution")), verify, "ok", scratch, in_place)
+    held = settle(held.withColumn("ok", F.coalesce("ok", F.lit(False))))
+    done = done.unionByName(ended(held.where("ok"), "whole", none, tries))
+    wrong = first_wrong_sentence(held.where(~F.col("ok")).drop("ok"), verify, scratch, in_place)
+    wrong = wrong if in_place else scratch.keep(wrong)
     part = F.concat(F.array_join(F.slice(F.split("solution", r"\. "), F.lit(1), F.col("error_position")), ". "), F.lit("."))
-    again = answer(asked(wrong, part, most_tries + 1)).select("id", "solution")
-    return done.unionByName(ended(wrong.drop("solution").join(again, "id", "left"), "rewritten", F.col("error_position"), tries))
+    again = _told(asked(wrong, part, most_tries + 1).drop("solution"), answer, "solution", None, in_place)
+    return done.unionByName(ended(again, "rewritten", F.col("error_position"), tries))
+
+
+_GIVEN = {"solution": ("id", "question", "start", "round"), "ok": ("id", "question", "solution"), "score": ("id", "question", "solution")}
+
+
+def _told(df: DataFrame, model: Model, name: str, scratch: Scratch | None, in_place: bool, how: str = "left") -> DataFrame:
+    """``df`` with the model's column ``name``; a model that does not keep what it is given is joined back, and what it said is written before it is read again."""
+    if in_place:
+        return model(df).select(*df.columns, name)
+    joined = df.join(model(df.select(*_GIVEN[name])).select("id", name), "id", how)
+    return joined if scratch is None else scratch.keep(joined)
 
 
-def first_wrong_sentence(solutions: DataFrame, verify: Model, scratch: Scratch | None = None) -> DataFrame:
+def first_wrong_sentence(solutions: DataFrame, verify: Model, scratch: Scratch | None = None, in_place: bool = False) -> DataFrame:
     """(id, question, solution, error_position): the number of sentences up to the first that makes a beginning of the solution fail.
 
-    Every round checks the middle of all intervals that are still open, so there are log2 of the most sentences rounds.
+    Every round checks the middle of all intervals that are still open, so there are log2 of the most sentences rounds. ``in_place`` is that of ``step_search``.
     """
     scratch = scratch or Scratch(solutions.sparkSession)
-    pieces = F.filter(F.transform(F.split(F.translate("solution", "\u3002", "."), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    now = scratch.keep(solutions.select("id", "question", "solution", pieces.alias("pieces")).withColumns({"lo": F.lit(0), "hi": F.size("pieces")}))
+    pieces = F.filter(F.transform(F.split(F.translate("whole", "\u3002", "."), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    now = scratch.keep(solutions.select("id", "question", F.col("solution").alias("whole")).withColumns({"lo": F.lit(0), "hi": F.size(pieces)}))
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    ok = F.coalesce("ok", F.lit(False))
     while not now.where("lo < hi").isEmpty():
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        open_ = now.where("lo < hi").select("id", "question", F.concat(F.array_join(F.slice("pieces", F.lit(1), mid), ". "), F.lit(".")).alias("solution"))
-        ok = F.coalesce("ok", F.lit(False))
-        is_open = F.col("lo") < F.col("hi")
-        after = scratch.keep(now.join(verify(open_).select("id", "ok"), "id", "left").select("id", "question", "solution", "pieces", F.when(is_open & ok, mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(is_open & ~ok, mid).otherwise(F.col("hi")).alias("hi")))
+        begun = now.where("lo < hi").withColumn("solution", F.concat(F.array_join(F.slice(pieces, F.lit(1), mid), ". "), F.lit(".")))
+        probed = _told(begun, verify, "ok", None, in_place)
+        halved = probed.select("id", "question", "whole", F.when(ok, mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).otherwise(mid).alias("hi"))
+        after = scratch.keep(halved.unionByName(now.where("lo >= hi")))
         scratch.drop(now)
         now = after
-    return now.select("id", "question", "solution", F.col("lo").alias("error_position"))
+    return now.select("id", "question", F.col("whole").alias("solution"), F.col("lo").alias("error_position"))
 
 
 def verified_rows(model: Model, seeds: DataFrame, check: Column, wanted: int, most_tries: int = 10) -> DataFrame:

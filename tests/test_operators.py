@@ -436,6 +436,29 @@ def test_step_search(spark):
     assert len(rounds) == 5
 
 
+def test_step_search_in_place_joins_nothing(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from corpusloom.operators import generate as G
+    from corpusloom.session import Scratch
+
+    asked = spark.createDataFrame([(i, i % 9) for i in range(40)], "id int, question int")
+
+    def run(give, **how):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("question") + 1), lambda i: F.concat(F.lit("s"), F.when(i > F.col("round") + 2, " wrong").otherwise(""))), ". ")
+        answer = lambda df: give(df, "solution", F.when(F.col("round") <= 3, F.concat(text, F.lit("."))).otherwise(F.concat("start", F.lit(" anew."))))
+        score = lambda df: give(df, "score", F.when(F.col("id") % 5 > 0, 1 - F.regexp_count("solution", F.lit("wrong")) / (F.col("question") + 1)))
+        verify = lambda df: give(df, "ok", ~F.contains("solution", F.lit("wrong")) & (F.col("id") % 7 > 0))
+        return sorted(map(tuple, G.step_search(asked, answer, verify, score, most_tries=3, **how).collect()), key=str)
+
+    want = run(lambda df, name, c: df.select("id", c.alias(name)))
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(DataFrame, "join", None)
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append(1) or keep(self, df))
+    assert run(lambda df, name, c: df.withColumn(name, c), in_place=True) == want and len(want) == 40
+    assert {r[2] for r in want} == {"direct", "early", "whole", "rewritten"} and len(written) <= 10
+
+
 def test_code_chunks_keep_definitions_whole(spark):
     run = lambda t, n, **k: one(spark, t, lambda c: chunk.code_chunks(c, n, **k))
     define = lambda name, n: "\n".join([f"def {name}():"] + ["    x = 1"] * n)  # noqa: E731  3 or 4 tokens a line
