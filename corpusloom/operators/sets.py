@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ def rouge_rejects(texts: DataFrame, corpus: DataFrame, threshold: float = 0.7) -
 
     F above t means that the two share more than t (n + m) / 2 words and that the shorter has over t / (2 - t) of the
     longer's. So some shared word is among the n - ceil(t / (2 - t) * n) + 1 rarest of either (occurrences counted
-    apart): only pairs that meet there are compared, the words of a text by bits of one integer.
+    apart): only pairs that meet there are compared, the words of a text by bits of one integer. Texts whose length no
+    text of the corpus comes near are left out before anything moves; words that the corpus lacks are only counted.
     """
     least = threshold / (2 - threshold)
 
@@ -23,7 +26,10 @@ def rouge_rejects(texts: DataFrame, corpus: DataFrame, threshold: float = 0.7) -
         split = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: w != "")
         return df.select(F.col("id").alias(f"{side}_id"), split.alias(f"{side}_words"), F.size(split).alias(f"{side}_n")).where(f"{side}_n > 0")
 
-    a, b = words(texts, "a"), words(corpus, "b")
+    grade = lambda n: F.floor(F.log(n) / (-1.001 * math.log(least))).cast("int")  # noqa: E731  lengths in reach are at most one apart
+    b = words(corpus, "b")
+    grades = b.select(F.explode(F.array(*[grade(F.col("b_n")) + i for i in (-1, 0, 1)])).alias("g")).agg(F.collect_set("g").alias("grades"))  # some five for each factor of ten
+    a = words(texts, "a").join(F.broadcast(grades)).where(F.array_contains("grades", grade(F.col("a_n")))).drop("grades")  # one row
 
     def counted(df: DataFrame, side: str) -> DataFrame:
         one = df.select(f"{side}_id", f"{side}_n", F.explode(f"{side}_words").alias("w")).groupBy(f"{side}_id", f"{side}_n", "w").agg(F.count(F.lit(1)).alias("k"))
@@ -33,7 +39,9 @@ def rouge_rejects(texts: DataFrame, corpus: DataFrame, threshold: float = 0.7) -
     df = bc.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(c: DataFrame, side: str) -> DataFrame:
-        ranked = c.join(df, "w", "left").withColumn("rn", F.row_number().over(Window.partitionBy(f"{side}_id").orderBy(F.coalesce("df", F.lit(0)), "w")))
+        of = Window.partitionBy(f"{side}_id")
+        lacking = F.col(f"{side}_n") - F.count(F.lit(1)).over(of)  # they come first, being rarest
+        ranked = c.join(df, "w").withColumn("rn", lacking + F.row_number().over(of.orderBy("df", "w")))
         return ranked.where(F.col("rn") <= F.col(f"{side}_n") - F.ceil(least * F.col(f"{side}_n") - 1e-9) + 1).select(f"{side}_id", f"{side}_n", "w")
 
     shorter, longer = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")

@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 from collections import Counter
 
@@ -93,6 +94,20 @@ def test_rouge_filter_is_all_pairs(spark):
     assert {r.id for r in sets.rouge_rejects(a, b).collect()} == want and 10 <= len(want) < 60
 
 
+def test_rouge_filter_leaves_out_lengths_of_no_item(spark):
+    long = [(i, " ".join(f"w{j % 50} x{i}" for j in range(2000))) for i in range(200)]
+    near = " ".join(f"w{j}" for j in range(20))
+    a = spark.createDataFrame([*long, (1000, near), (1001, near + " y" * 17), (1002, near + " y" * 18), (1003, " ".join(near.split()[:11])), (1004, " ".join(near.split()[:10]))], "id long, text string").repartition(2)
+    b = spark.createDataFrame([(0, near), (1, None), (2, "z " * 300)], "id long, text string")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    moved = lambda: sum(x.shuffleWriteRecords() for i in range(stages().size()) for x in [stages().apply(i)])
+    before = moved()
+    assert {r.id for r in sets.rouge_rejects(a, b).collect()} == {1000, 1001, 1003}
+    time.sleep(1)  # the store is behind
+    assert moved() - before < 2000  # the long texts have 10,000 different words
+
+
 def test_random_walks(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
     e = spark.createDataFrame(edges, "src string, dst string")
