@@ -8,7 +8,7 @@ from corpusloom.operators import evaluate as V
 from corpusloom.operators import events as T
 from corpusloom.operators import graph as N
 from corpusloom.plans import register
-from corpusloom.session import table
+from corpusloom.session import dealt, table
 
 
 @register("j01_left_count", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -106,7 +106,8 @@ def a16(spark, d):
 
 
 def _part_supplier(spark, d):
-    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    lines = dealt(lines, lines.count(), "l_partkey", "l_suppkey").distinct()
     return lines.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
 
 
