@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parse as P
 from corpusloom.functions.text import strip
-from corpusloom.session import Scratch
+from corpusloom.operators.graph import both_ways, step_rows
+from corpusloom.session import Scratch, dealt
 
 
 def rouge_rejects(texts: DataFrame, corpus: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -142,20 +143,20 @@ def random_walk(edges: DataFrame, starts: DataFrame, steps: int, restart: float
     ``by_neighbours`` weighs neighbours by how few they have in common with the node (1 - Jaccard).
     """
     scratch = Scratch(edges.sparkSession)
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both, degree = both_ways(edges, scratch)
     weight = F.lit(1.0)
     if by_neighbours:
-        degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
         common = both.alias("x").join(both.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst")
         common = common.join(both, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
         both = both.join(common, ["src", "dst"], "left").join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
         weight = 1 - F.coalesce("c", F.lit(0)) / F.greatest(F.col("n") + F.col("m") - F.coalesce("c", F.lit(0)), F.lit(1))
     both = scratch.keep(both.select("src", "dst", weight.alias("weight")))
+    links = both.count()
     draw = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     now = starts.select(F.col("id").alias("root"), F.lit(0).alias("step"), "id")
     out = now
     for step in range(1, steps + 1):
-        moved = now.join(both, now["id"] == both["src"]).select("root", F.col("dst").alias("id"), (-F.log(draw("root", F.lit(step), "dst")) / F.greatest("weight", F.lit(1e-9))).alias("key"))
+        moved = now.join(dealt(both, max(links, step_rows(now, degree)), "src"), F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), (-F.log(draw("root", F.lit(step), "dst")) / F.greatest("weight", F.lit(1e-9))).alias("key"))
         moved = moved.groupBy("root").agg(F.min_by("id", F.struct("key", "id")).alias("id"))
         back = draw("root", F.lit(-step)) < restart
         now = scratch.keep(moved.select("root", F.lit(step).alias("step"), F.when(back, F.col("root")).otherwise(F.col("id")).alias("id")))

@@ -121,6 +121,30 @@ def test_random_walks(spark):
             assert len(path) == 6 and all(frozenset((x, y)) in near or y == root for x, y in zip(path, path[1:]))
 
 
+def test_steps_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from corpusloom import session
+
+    monkeypatch.setattr(session, "TASK", 50)
+    edges = [(f"p{i}", f"s{(i * j) % 40}") for i in range(120) for j in range(1, 6)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    roots = spark.createDataFrame([(f"p{i}",) for i in range(0, 120, 10)], "id string")
+    tasks, keep = [], session.Scratch.keep
+    monkeypatch.setattr(session.Scratch, "keep", lambda self, df: tasks.append(df.rdd.getNumPartitions()) or keep(self, df))
+    got = {(r.root, r.id): r.depth for r in graph.k_hops(e, roots, 2).collect()}
+    want = {}
+    for i in range(0, 120, 10):
+        one = near[f"p{i}"]
+        two = set().union(*(near[x] for x in one))
+        want |= {(f"p{i}", x): 2 for x in two} | {(f"p{i}", x): 1 for x in one} | {(f"p{i}", f"p{i}"): 0}
+    assert got == want and max(tasks) > 8, tasks
+    tasks.clear()
+    assert sets.random_walk(e, roots, 2).count() == 36 and max(tasks) > 8, tasks
+
+
 def test_trees_and_cycles(spark):
     nodes = spark.createDataFrame([("0", None), ("0.1", "0"), ("0.2", "0"), ("0.1.1", "0.1")], "id string, parent string")
     assert {r.id: r.depth for r in sets.depths(nodes).collect()} == {"0": 1, "0.1": 2, "0.2": 2, "0.1.1": 3}
