@@ -108,6 +108,14 @@ def test_rouge_filter_leaves_out_lengths_of_no_item(spark):
     assert moved() - before < 2000  # the long texts have 10,000 different words
 
 
+def test_letters_are_counted_in_one_pass(spark):
+    texts = ["", None, "aAbz", "\u0130i \u212a\u00df\u4e2d\U0001f600 ~`{@[", "Zz" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", vector.letter_embedding(F.col("text")).alias("v"))
+    want = df.sparkSession.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.array(*[(F.length(F.lower("text")) - F.length(F.replace(F.lower("text"), F.lit(c), F.lit("")))).cast("double") for c in vector.LETTERS]).alias("v"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_random_walks(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
     e = spark.createDataFrame(edges, "src string, dst string")
