@@ -451,6 +451,30 @@ def test_many_paths(spark):
             N.many_paths(frame(bad), start, directed=directed)
 
 
+def test_many_paths_without_edges_that_landmarks_rule_out(spark, monkeypatch):
+    import random
+
+    from corpusloom.operators import graph as N
+    from corpusloom.session import Scratch
+
+    rng = random.Random(8)
+    edges = [(f"n{i:02}", f"n{j:02}", rng.randrange(0, 40)) for i in range(12) for j in range(i)] + [("x", "y", 30), ("y", "z", 0)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight long")
+    monkeypatch.setattr(N, "LANDMARKS", 3)
+    dropped = []
+    on = N._on_least_paths
+    monkeypatch.setattr(N, "_on_least_paths", lambda e, costs, scratch: [kept := on(e, costs, scratch), dropped.append(e.count() - kept.count())][0])
+    roots = [*sorted({v for edge in edges for v in edge[:2]} - {"y"})]
+    rows = N.many_paths(df, spark.createDataFrame([(r,) for r in roots], "id string"), delta=9).collect()
+    for root in roots:
+        assert {r.id: (r.cost, r.hops, r.path) for r in rows if r.root == root} == _least(edges, root, False), root
+    assert dropped[0] > 0 and len(rows) == 12 * 12 + 2 * 3
+    doubles = N.many_paths(df.withColumn("weight", F.col("weight") / 2), spark.createDataFrame([("n05",)], "id string"))  # compared as structs
+    assert {r.id: (2 * r.cost, r.hops, r.path) for r in doubles.collect()} == _least(edges, "n05", False)
+    numbers = N.numbered(df.select(F.col("src").alias("id")), Scratch(spark)).orderBy("no").collect()
+    assert [(r.id, r.no) for r in numbers] == [(v, i) for i, v in enumerate(sorted({a for a, _, _ in edges}))]
+
+
 def test_step_search(spark):
     from corpusloom.operators import generate as G
 
