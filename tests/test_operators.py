@@ -407,6 +407,18 @@ trailer <</Root 1 0 R>>
     assert "more than 1000 bytes" in K.pdf_pages(bomb, most_bytes=1000).first().error
 
 
+def test_fonts_of_a_file_are_read_once(monkeypatch):
+    from corpusloom.sources import pages as K
+
+    maps, read = [], K._unicode_map
+    monkeypatch.setattr(K, "_unicode_map", lambda body: [maps.append(1), read(body)][1])
+    texts = [f"page {i} \ud83d\ude00é".encode("utf-16", "surrogatepass").decode("utf-16") for i in range(30)]
+    assert [list(K._texts(K.write_pdf(texts, packed=packed), 1 << 20)) for packed in (False, True)] == [texts, texts] and len(maps) == 2
+    some = b"begincmap 1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <41> <0042> endbfchar 1 beginbfrange <61> <63> <0078> endbfrange endcmap"
+    decode = K._decoder(type("F", (), {"get": lambda self, v: v, "stream": lambda self, info, raw: raw})(), {"ToUnicode": ({}, some)})
+    assert decode(b"Aabcd") == "Bxyz\ufffd" and decode(b"") == ""
+
+
 def _least(edges, root, directed):
     """Costs, hops and paths by plain relaxation."""
     both = [(a, b, w) for a, b, w in edges] + ([] if directed else [(b, a, w) for a, b, w in edges])
