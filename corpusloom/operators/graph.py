@@ -45,6 +45,25 @@ def k_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+HELD = 4096  # members of a middle node that are paired within its row
+
+
+def two_hops(edges: DataFrame) -> DataFrame:
+    """(a, b), a < b: the distinct pairs of members that share a middle node, from edges (mid, member).
+
+    Middle nodes are dealt by ranges: neighbours among them tend to have members in common, so most repeated pairs meet in one task
+    and only distinct ones of a task move. Nodes of more than ``HELD`` members are paired by a join, which Spark splits.
+    """
+    e = edges.select("mid", "member").dropna()
+    many = Scratch(e.sparkSession).keep(e.groupBy("mid").count().where(F.col("count") > HELD).select("mid"))
+    few = e.join(many, "mid", "left_anti").repartitionByRange("mid").groupBy("mid").agg(F.collect_set("member").alias("members"))
+    pairs = few.where(F.size("members") > 1).select(F.explode("members").alias("a"), "members").select("a", F.explode("members").alias("b")).where("a < b")
+    if not many.isEmpty():
+        hot = e.join(many, "mid", "left_semi").distinct()
+        pairs = pairs.unionByName(hot.withColumnRenamed("member", "a").join(hot.withColumnRenamed("member", "b"), "mid").where("a < b").select("a", "b"))
+    return pairs.distinct()
+
+
 def both_ways(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Distinct edges (src, dst) in both directions and the degree (src, n) of each node, written."""
     edges = scratch.keep(edges.select("src", "dst"))

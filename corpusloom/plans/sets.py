@@ -399,8 +399,9 @@ def j08(spark, d):
 
 @register("j09_two_hops", "WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) SELECT DISTINCT a.s AS a, b.s AS b FROM e a JOIN e b ON a.p = b.p AND a.s < b.s")
 def j09(spark, d):
-    e = _t(spark, d, "lineitem").select(C("l_partkey").alias("p"), C("l_suppkey").alias("s")).distinct()
-    return e.select("p", C("s").alias("a")).join(e.select("p", C("s").alias("b")), "p").where("a < b").select("a", "b").distinct()
+    from corpusloom.operators.graph import two_hops
+
+    return two_hops(_t(spark, d, "lineitem").select(C("l_partkey").alias("mid"), C("l_suppkey").alias("member")))
 
 
 @register("j12_zipped", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest([p_type, p_brand]) AS tag FROM part")

@@ -487,6 +487,22 @@ def test_many_paths_without_edges_that_landmarks_rule_out(spark, monkeypatch):
     assert [(r.id, r.no) for r in numbers] == [(v, i) for i, v in enumerate(sorted({a for a, _, _ in edges}))]
 
 
+def test_two_hops(spark, monkeypatch):
+    import itertools
+    import random
+
+    from corpusloom.operators import graph as N
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(20), rng.randrange(60)) for _ in range(200)] + [(5, m) for m in range(30)] * 2 + [(99, 7), (99, 7), (None, 1), (3, None)]
+    want = {p for mid in range(100) for p in itertools.combinations(sorted({m for k, m in rows if k == mid and m is not None}), 2)}
+    df = spark.createDataFrame(rows, "mid int, member int")
+    for held in (4096, 20):  # within rows, and of hot nodes by a join
+        monkeypatch.setattr(N, "HELD", held)
+        got = N.two_hops(df).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_step_search(spark):
     from corpusloom.operators import generate as G
 
