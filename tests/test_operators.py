@@ -487,6 +487,39 @@ def test_many_paths_without_edges_that_landmarks_rule_out(spark, monkeypatch):
     assert [(r.id, r.no) for r in numbers] == [(v, i) for i, v in enumerate(sorted({a for a, _, _ in edges}))]
 
 
+def test_many_paths_over_blocks(spark, monkeypatch):
+    """Over 64 sources, edges in many blocks, a node whose edges lie in several of them, and trees too large for a task; costs too great for a block's keys."""
+    import random
+
+    from corpusloom.operators import blocks as B
+    from corpusloom.operators import graph as N
+
+    rng = random.Random(6)
+    edges = [(f"n{i:02}", f"n{rng.randrange(70):02}", rng.randrange(0, 9)) for i in range(70) for _ in range(2)] + [("hub", f"n{i:02}", rng.randrange(20, 30)) for i in range(70)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight int")
+    roots = sorted({v for e in edges for v in e[:2]})
+    start = spark.createDataFrame([(r,) for r in roots], "id string")
+    monkeypatch.setattr(B, "BLOCK", 40)
+    rounds = []
+    least = N._least_costs
+    monkeypatch.setattr(N, "_least_costs", lambda *args: [least(*args), rounds.append(1)][0])
+    want = {r: _least(edges, r, False) for r in roots}
+    for most in (B.WALKED, 200):
+        monkeypatch.setattr(B, "WALKED", most)
+        rows = N.many_paths(df, start)
+        assert rows.schema["cost"].dataType.typeName() == "integer"
+        rows = rows.collect()
+        assert len(rows) == len(roots) ** 2
+        for root in roots:
+            assert {r.id: (r.cost, r.hops, r.path) for r in rows if r.root == root} == want[root], root
+    assert not rounds
+    with pytest.raises(RuntimeError):
+        N.many_paths(df, start, most_rounds=1)
+    large = [(a, b, w << 45) for a, b, w in edges[:60]]
+    rows = N.many_paths(spark.createDataFrame(large, "src string, dst string, weight long"), start.where("id = 'n00'")).collect()
+    assert {r.id: (r.cost, r.hops, r.path) for r in rows} == _least(large, "n00", False) and rounds
+
+
 def test_two_hops(spark, monkeypatch):
     import itertools
     import random
