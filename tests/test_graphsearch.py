@@ -66,6 +66,21 @@ def test_communities_are_those_of_a_plain_loop(spark, edges):
         assert all(n[0] == c[0] for n, c in first) and len({c for _, c in first}) <= 6
 
 
+@pytest.mark.parametrize("block, hub", [(30, 1 << 22), (30, 0)])
+def test_communities_over_blocks(spark, monkeypatch, block, hub):
+    """Links in many blocks that send each other labels, and votes as rows where a node has too many links for a task; great weights."""
+    from corpusloom.operators import voting
+
+    monkeypatch.setattr(voting, "BLOCK", block)
+    monkeypatch.setattr(S, "HUB", hub)
+    packs = []
+    blocks_of = voting.blocks_of
+    monkeypatch.setattr(voting, "blocks_of", lambda *args: [packed := blocks_of(*args), packs.append(packed.count())][0])
+    edges = [*_blocks(), ("000", "00é", 1 << 40), ("é", "00é", 1)]
+    got = {(r.id, r.level, r.community) for r in S.communities(spark.createDataFrame(edges, EDGE), levels=2, seed=2).collect()}
+    assert got == _plain(edges, 2, seed=2) and (packs[0] > 4 if hub else not packs)
+
+
 def test_reports_and_searches(spark):
     edges = spark.createDataFrame([("a", "b", 3), ("b", "a", 1), ("b", "c", 2), ("x", "y", 5), ("c", "x", 1)], EDGE)
     members = spark.createDataFrame([(n, 0, "a" if n in "abc" else "x") for n in "abcxy"], "id string, level int, community string")
